@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from samewise.llm import sharding
+from samewise.llm import decontamination, sharding
 
-QUERIES = {"op1_sharding": sharding.query}
-ORACLE = {}
+QUERIES = {
+    "op1_sharding": sharding.query,
+    "op4_decontamination": decontamination.query,
+}
+ORACLE = {
+    "op4_decontamination": decontamination.SQL,
+}
