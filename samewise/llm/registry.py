@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, sharding
+from samewise.llm import decontamination, licenses, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_decontamination": decontamination.query,
+    "op10_licenses": licenses.query,
 }
 ORACLE = {
     "op4_decontamination": decontamination.SQL,
