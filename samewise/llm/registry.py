@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, licenses, sharding
+from samewise.llm import decontamination, licenses, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_decontamination": decontamination.query,
+    "op5_simhash": simhash.query,
     "op10_licenses": licenses.query,
 }
 ORACLE = {
