@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from samewise.llm import textbytes as tb
+from samewise.llm.automaton import SuffixAutomaton
 
 # The phrases of the base and the label of each.
 PHRASES = {
@@ -89,53 +90,20 @@ class Match(NamedTuple):
     place: int
 
 
-class Automaton:
-    """A generalised suffix automaton: the states are sets of end places in the templates."""
+class Automaton(SuffixAutomaton):
+    """Each state knows one end place in each template that has its runs."""
 
     def __init__(self, templates: list[list[int]]) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.places: list[dict[int, int]] = [{}]
-        for t, words in enumerate(templates):
-            last = 0
-            for i, word in enumerate(words):
-                last = self._extend(last, word)
-                self.places[last].setdefault(t, i + 1)
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+        super().__init__()
+        ends = [self.add(words) for words in templates]
+        self.places: list[dict[int, int]] = [{} for _ in self.next]
+        for t, states in enumerate(ends):
+            for i, s in enumerate(states):
+                self.places[s].setdefault(t, i + 1)
+        for s in self.longest_first():
             for t, place in self.places[s].items():
                 self.places[self.link[s]].setdefault(t, place)
 
-    def _state(self, length: int, after: dict[int, int], link: int) -> int:
-        self.next.append(after)
-        self.link.append(link)
-        self.length.append(length)
-        self.places.append({})
-        return len(self.next) - 1
-
-    def _split(self, p: int, q: int, word: int) -> int:
-        """The state of the runs through p and word only, apart from the longer ones of q."""
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        self.link[q] = clone
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, last: int, word: int) -> int:
-        q = self.next[last].get(word)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, word)
-        new = self._state(self.length[last] + 1, {}, 0)
-        p = last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][word]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
-        return new
-
     def statistics(self, words: list[int]) -> list[tuple[int, int]]:
         """At each word, the longest run ending there that stands in a template, and its state."""
         state = size = 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, licenses, sharding, simhash
+from samewise.llm import decontamination, licenses, passages, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
+    "op9_passages": passages.query,
     "op10_licenses": licenses.query,
 }
 ORACLE = {

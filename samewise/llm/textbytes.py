@@ -73,8 +73,8 @@ def runs_of(h: np.ndarray, n: int) -> np.ndarray:
     whole, done, power, size = None, 0, h, 1
     while True:
         if n & size:
-            whole = power if whole is None else paired(whole[: len(h) - n + 1], power[done:])
-            whole = whole[: len(h) - n + 1]
+            ahead = power[done:]
+            whole = power if whole is None else paired(whole[: len(ahead)], ahead)
             done += size
             if done == n:
                 return whole
