@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, language, licenses, passages, sharding, simhash
+from samewise.llm import decontamination, language, licenses, passages, personal, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_language": language.query,
     "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
+    "op7_personal": personal.query,
     "op9_passages": passages.query,
     "op10_licenses": licenses.query,
 }
