@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, language, licenses, passages, personal, sharding, simhash
+from samewise.llm import decontamination, language, licenses, passages, personal, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
     "op7_personal": personal.query,
+    "op8_quality": quality.query,
     "op9_passages": passages.query,
     "op10_licenses": licenses.query,
 }
