@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from samewise.llm import decontamination, language, licenses, passages, personal, quality, sharding, simhash
+from samewise.llm import archives, decontamination, language, licenses, passages, personal, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_language": language.query,
     "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
+    "op6_archives": archives.query,
     "op7_personal": personal.query,
     "op8_quality": quality.query,
     "op9_passages": passages.query,
