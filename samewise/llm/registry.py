@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from samewise.llm import archives, decontamination, language, licenses, passages, personal, quality, sharding, simhash
+from samewise.llm import archives, decontamination, language, licenses, mixing, passages, personal, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_language": language.query,
+    "op3_mixing": mixing.query,
     "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
     "op6_archives": archives.query,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_licenses": licenses.query,
 }
 ORACLE = {
+    "op3_mixing": mixing.SQL,
     "op4_decontamination": decontamination.SQL,
 }
