@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -71,3 +72,15 @@ def test_against_brute_force(spark):
     for r in personal.find(docs).collect():
         assert [(s.start, s.end, s.kind) for s in r.base] == brute(texts[r.doc_id])
         assert set(r.base) <= set(r.spans)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = personal.query(spark, sf).collect()
+    assert len(rows) == len(texts) and sum(r.n_card for r in rows) > 5
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in want) for k in personal.KINDS]
+        text = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(filter(None, text.split(","))) <= set(r.spans.split(","))
