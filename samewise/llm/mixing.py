@@ -93,6 +93,13 @@ def mixed(docs: DataFrame, cells_of: DataFrame | None = None, key: str = "doc_id
     return docs.drop("probability").join(F.broadcast(chance) if few else chance, list(DIMENSIONS)).withColumn("selected", drawn < F.col("probability"))
 
 
+def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """The rows of docs that are taken, as they are."""
+    own = docs.select("*", F.struct(*docs.columns).alias("__own"))
+    taken = mixed(described(own, text).select("__own", F.col(key), *[x for x in DIMENSIONS if x != key], "tokens"), key=key, budget=budget, targets=targets).where("selected")
+    return taken.select("__own.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with tempered targets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")

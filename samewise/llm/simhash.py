@@ -142,6 +142,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return clustered(marks, key, bits)
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """The rows of docs that stay when each component keeps one: that with the smallest key; of rows with equal keys in it, one.
+
+    Rows are chosen on keys and fingerprints; texts are shuffled once, by both, so that copies spread.
+    """
+    marked = written(docs.withColumn("__print", fingerprint(F.col(text), words)), "simhash-marked")
+    found = clustered(marked.select(F.col(key), F.col("__print").alias("print")), key, bits)
+    chosen = found.where(F.col(key).eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("print").alias("print"))
+    stays = chosen.select(F.col("component").alias("__key"), F.col("print").alias("__at"))
+    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__print") == F.col("__at")), "left_semi")
+    return kept.dropDuplicates([key, "__print"]).drop("__print")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
