@@ -21,6 +21,13 @@ def membership(keyed: DataFrame, rid: str = "rid", key: str = "token_key") -> Da
     return keyed.join(clusters(keyed, rid, key), key).select(F.col(rid), "survivor", "n_members")
 
 
+def pairs(keyed: DataFrame, rid: str = "rid", key: str = "token_key") -> DataFrame:
+    """All pairs (a, b), a < b, of records with equal keys, as wanted by callers that take pairs; clusters() says the same in linear size."""
+    left, right = keyed.alias("l"), keyed.alias("r")
+    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{rid}") < F.col(f"r.{rid}"))
+    return left.join(right, on).select(F.col(f"l.{rid}").alias("a"), F.col(f"r.{rid}").alias("b"))
+
+
 def survivors(keyed: DataFrame, rid: str = "rid", key: str = "token_key") -> DataFrame:
     """The records that stay when each cluster keeps its smallest record."""
     gone = membership(keyed, rid, key).where(F.col(rid) != F.col("survivor")).select(rid)

@@ -10,20 +10,153 @@ from samewise.operators import exact
 from samewise.plans.tables import table
 
 SQL_CLEAN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
-SQL_KEY = f"array_to_string(list_sort(list_distinct(list_filter(string_split({SQL_CLEAN.format('text')}, '_'), lambda x: x <> '' and x <> 'nan'))), ' ')"
+SQL_SET = "list_sort(list_distinct(list_filter(string_split({}, '_'), lambda x: x <> '' and x <> 'nan')))"
+SQL_KEY = f"array_to_string({SQL_SET.format(SQL_CLEAN.format('text'))}, ' ')"
+PART_CELLS = ("p_name", "p_brand", "p_type")
+PART_KEY = "array_to_string({}, ' ')".format(SQL_SET.format("{0} || '_' || {1} || '_' || {2}".format(*[SQL_CLEAN.format(c) for c in PART_CELLS])))
+PART_PAIRS = "FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"
 
 
-def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.with_key(table(spark, sf_dir, "documents"), F.col("doc_id"), T.token_key([F.col("text")]))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.with_key(table(spark, sf_dir, "part"), F.col("p_partkey"), T.token_key([F.col(c) for c in PART_CELLS]))
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts with equal size and brand, and the tokens of their names and types."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_name", T.tokens(T.clean_str(F.concat_ws("_", "p_name", "p_type"))).alias("t"))
+    a, b = part.alias("a"), part.alias("b")
+    on = (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+    return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"), F.col("a.p_name").alias("na"), F.col("b.p_name").alias("nb"))
+
+
+def clean_str(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_str(F.col("text")).cast("binary")).alias("clean_md5"))
+
+
+def clean_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate")
+    shapes = [F.date_format(day, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM", "yyyy/MM", "dd MM yyyy")]
+    text = F.element_at(F.array(*shapes), (F.col("o_orderkey") % len(shapes) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("raw"), T.clean_date(text).alias("cleaned"))
+
+
+def token_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.col("p_name"))).alias("cell"))
+    return cells.withColumn("v", T.token_value(F.col("cell"))).select("p_partkey", "cell", F.array_join("v.tokens", " ").alias("tokens"), "v.is_numeric")
+
+
+def idx_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    word = F.when(key % 3 == 0, F.concat(F.lit("idx__"), key)).when(key % 3 == 1, F.concat(F.lit("idx__"), key, F.lit(".7"))).otherwise(F.concat(F.lit("tt__"), key))
+    return table(spark, sf_dir, "customer").select("c_custkey", word.alias("word"), T.idx_suffix(word).alias("idx"))
+
+
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.record_tokens([F.col("text")])
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens_md5"))
+
+
+def bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.bitmask(T.record_tokens([F.col("p_name"), F.col("p_brand")])).alias("mask"))
+
+
+def _grams(spark: SparkSession, sf_dir: str, skip: int) -> DataFrame:
+    t = T.tokens(T.clean_str(F.concat_ws("_", "p_name", "p_type")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit(2), F.lit(3))).alias("n"), F.array(T.skip_ngrams(t, 2, skip), T.skip_ngrams(t, 3, skip)).alias("g"))
+    return rows.select("p_partkey", "n", F.posexplode(F.element_at("g", F.col("n") - 1)).alias("at", "gram")).select("p_partkey", "n", F.col("at").cast("long").alias("at"), F.array_join("gram", " ").alias("gram"))
+
+
+def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grams(spark, sf_dir, 0)
+
+
+def skip_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grams(spark, sf_dir, 1)
+
+
 def exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.clusters(keyed_documents(spark, sf_dir)).select("survivor", "n_members", F.md5("token_key").alias("key_md5"))
+    return exact.clusters(documents(spark, sf_dir)).select("survivor", "n_members", F.md5(F.col("token_key").cast("binary")).alias("key_md5"))
+
+
+def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.pairs(documents(spark, sf_dir))
+
+
+def exact_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.survivors(parts(spark, sf_dir)).select("rid", "token_key")
+
+
+def exact_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = documents(spark, sf_dir)
+    odd = F.pmod("rid", F.lit(2)) == 1
+    return exact.incremental(keyed.where(odd), keyed.where(~odd))
+
+
+def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_pairs(spark, sf_dir).select("a", "b", F.round(T.set_jaccard(F.col("ta"), F.col("tb")), 6).alias("jaccard"))
+
+
+def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doubled = F.concat("ta", F.slice("ta", 1, 1))
+    return part_pairs(spark, sf_dir).select("a", "b", F.round(T.multiset_jaccard(doubled, F.concat("tb", F.slice("tb", 1, 2))), 6).alias("jaccard"))
+
+
+def multiset_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_pairs(spark, sf_dir).select("a", "b", T.multiset_equal(F.col("ta"), F.col("tb")).alias("equal"), T.multiset_equal(F.array_distinct("ta"), F.array_distinct("tb")).alias("equal_sets"))
+
+
+def unigram_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda t: T.unigrams(F.array(F.array_join(t, "_")))
+    return part_pairs(spark, sf_dir).select("a", "b", T.multiset_equal(whole(F.col("ta")), whole(F.col("tb"))).alias("equal"))
+
+
+def lev_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of different names is measured once."""
+    pairs = part_pairs(spark, sf_dir)
+    names = pairs.select("na", "nb").distinct().withColumn("ratio", F.round(T.lev_ratio(F.col("na"), F.col("nb")), 6))
+    return pairs.join(names, ["na", "nb"]).select("a", "b", "ratio")
+
 
+QUERIES = {f.__name__: f for f in (clean_str, clean_date, token_value, idx_suffix, tokenize, bitmask, ngrams, skip_ngrams, exact_clusters, exact_pairs, exact_survivors, exact_incremental, set_jaccard, multiset_jaccard, multiset_equal, unigram_equal, lev_ratio)}
 
-QUERIES = {"exact_clusters": exact_clusters}
+_TOKENS = "list_filter(string_split(" + SQL_CLEAN.format("{0}p_name || '_' || {0}p_type") + ", '_'), lambda x: x <> '')"
+_PAIRS = f"p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, {_TOKENS.format('a.')} AS ta, {_TOKENS.format('b.')} AS tb {PART_PAIRS})"
+_KEYED = f"k AS (SELECT doc_id AS rid, {SQL_KEY} AS k FROM documents)"
+_SHAPES = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%Y-%m", "%Y/%m", "%d %m %Y")
+_COUNTS = "(SELECT a, b, w, count(*) AS n FROM (SELECT a, b, unnest(list_concat({0}, {0}[1:{1}])) AS w FROM p) GROUP BY ALL)"
 ORACLE = {
-    "exact_clusters": f"""
-        SELECT min(doc_id) AS survivor, count(*) AS n_members, md5(k) AS key_md5
-        FROM (SELECT doc_id, {SQL_KEY} AS k FROM documents) GROUP BY k HAVING count(*) > 1""",
+    "clean_str": f"SELECT doc_id, md5({SQL_CLEAN.format('text')}) AS clean_md5 FROM documents",
+    "clean_date": "SELECT o_orderkey, CASE o_orderkey % 7 "
+    + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_SHAPES))
+    + " END AS raw, CASE o_orderkey % 7 "
+    + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{'%Y%m%d' if i < 4 else '%Y%m' if i < 6 else f}')" for i, f in enumerate(_SHAPES))
+    + " END AS cleaned FROM orders",
+    "token_value": f"""
+        SELECT p_partkey, p_size::VARCHAR AS cell, p_size::VARCHAR AS tokens, true AS is_numeric FROM part
+        UNION ALL SELECT p_partkey, p_retailprice::VARCHAR, trunc(p_retailprice)::BIGINT::VARCHAR, true FROM part
+        UNION ALL SELECT p_partkey, p_name, {SQL_CLEAN.format("p_name")}, false FROM part""",
+    "idx_suffix": """SELECT c_custkey, word, CASE WHEN starts_with(word, 'idx__') THEN trunc(try_cast(substr(word, 6) AS DOUBLE))::BIGINT END AS idx
+        FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'idx__' || c_custkey WHEN 1 THEN 'idx__' || c_custkey || '.7' ELSE 'tt__' || c_custkey END AS word FROM customer)""",
+    "tokenize": f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {SQL_SET.format(SQL_CLEAN.format('text'))} AS t FROM documents)",
+    "bitmask": f"""SELECT p_partkey, bit_or(1::BIGINT << (instr('{T.ALPHABET}', c) - 1)::BIGINT) AS mask
+        FROM (SELECT p_partkey, unnest(string_split(regexp_replace(lower(p_name || p_brand), '[^a-z0-9]', '', 'g'), '')) AS c FROM part) GROUP BY p_partkey""",
+    "ngrams": f"""SELECT p_partkey, n::INTEGER AS n, i - 1 AS at, array_to_string(t[i:i + n - 1], ' ') AS gram
+        FROM (SELECT p_partkey, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT p_partkey, {_TOKENS.format("")} AS t, unnest([2, 3]) AS n FROM part))""",
+    "skip_ngrams": f"""
+        WITH w AS (SELECT p_partkey, n, i, t[i:i + n] AS w FROM (SELECT p_partkey, t, n, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, {_TOKENS.format("")} AS t, unnest([2, 3]) AS n FROM part) WHERE len(t) >= n)),
+        g AS (SELECT p_partkey, n, i, list_filter(w, lambda x, k: (k - 1) % greatest(1, (len(w) - 1) // (n - 1)) = 0)[1:n] AS g FROM w)
+        SELECT p_partkey, n::INTEGER AS n, row_number() OVER (PARTITION BY p_partkey, n ORDER BY i) - 1 AS at, array_to_string(g, ' ') AS gram FROM g WHERE len(g) = n""",
+    "exact_clusters": f"WITH {_KEYED} SELECT min(rid) AS survivor, count(*) AS n_members, md5(k) AS key_md5 FROM k GROUP BY k HAVING count(*) > 1",
+    "exact_pairs": f"WITH {_KEYED} SELECT a.rid AS a, b.rid AS b FROM k a JOIN k b ON a.k = b.k AND a.rid < b.rid",
+    "exact_survivors": f"WITH k AS (SELECT p_partkey AS rid, {PART_KEY} AS k FROM part) SELECT min(rid) AS rid, k AS token_key FROM k GROUP BY k",
+    "exact_incremental": f"WITH {_KEYED} SELECT a.rid, min(b.rid) AS match FROM k a JOIN k b ON a.k = b.k WHERE a.rid % 2 = 1 AND b.rid % 2 = 0 GROUP BY a.rid",
+    "set_jaccard": f"WITH {_PAIRS} SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard FROM p",
+    "multiset_jaccard": f"""WITH {_PAIRS}, x AS {_COUNTS.format("ta", 1)}, y AS {_COUNTS.format("tb", 2)}
+        SELECT a, b, round(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))) / sum(greatest(coalesce(x.n, 0), coalesce(y.n, 0))), 6) AS jaccard FROM x FULL JOIN y USING (a, b, w) GROUP BY a, b""",
+    "multiset_equal": f"WITH {_PAIRS} SELECT a, b, list_sort(ta) = list_sort(tb) AS equal, list_sort(list_distinct(ta)) = list_sort(list_distinct(tb)) AS equal_sets FROM p",
+    "unigram_equal": f"WITH {_PAIRS} SELECT a, b, list_sort(ta) = list_sort(tb) AS equal FROM p",
 }
