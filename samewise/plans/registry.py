@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.plans import stores, texts, vectors
+from samewise.plans import graphs, stores, texts, vectors
 
-QUERIES = {**texts.QUERIES, **vectors.QUERIES, **stores.QUERIES}
-ORACLE = {**texts.ORACLE, **vectors.ORACLE, **stores.ORACLE}
+QUERIES = {**texts.QUERIES, **vectors.QUERIES, **stores.QUERIES, **graphs.QUERIES}
+ORACLE = {**texts.ORACLE, **vectors.ORACLE, **stores.ORACLE, **graphs.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
