@@ -220,7 +220,7 @@ ORACLE = {
     "graph_ngrams": f"""WITH v AS (SELECT p_partkey, 'p_name' AS col, string_split({_CLEAN.format("p_name")}, '_') AS t FROM part UNION ALL SELECT p_partkey, 'p_type', string_split({_CLEAN.format("p_type")}, '_') FROM part)
         SELECT DISTINCT 'idx__' || p_partkey AS rid, col, 'ng::' || n || '::' || array_to_string(t[i:i + n - 1], '{graph.SEPARATOR}') AS name FROM (SELECT p_partkey, col, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM v, (SELECT unnest([2, 3]) AS n))""",
     "adjacency": f"WITH {_TOUCH}, {_EDGE}, {_BOTH} SELECT src AS name, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM arcs GROUP BY src",
-    "neighbour_index": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, {_INDEX} SELECT src, "at", dst FROM idx",
+    "neighbour_index": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, {_INDEX} SELECT src, idx.at AS \"at\", dst FROM idx",
     "graph_delete": f"WITH {_TOUCH}, {_EDGE}, gone AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey % 10 = 3) SELECT src, dst FROM edge WHERE src NOT IN (SELECT name FROM gone) AND dst NOT IN (SELECT name FROM gone)",
     "graph_merge": f"WITH {_NODE} SELECT name, frequency_in_graph FROM node",
     "affected": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, n AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey <= 3) SELECT name FROM n UNION SELECT dst FROM arcs WHERE src IN (SELECT name FROM n)",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.plans import graphs, stores, texts, vectors
+from samewise.plans import graphs, stores, streams, texts, vectors
 
-QUERIES = {**texts.QUERIES, **vectors.QUERIES, **stores.QUERIES, **graphs.QUERIES}
-ORACLE = {**texts.ORACLE, **vectors.ORACLE, **stores.ORACLE, **graphs.ORACLE}
+QUERIES = {**texts.QUERIES, **vectors.QUERIES, **stores.QUERIES, **graphs.QUERIES, **streams.QUERIES}
+ORACLE = {**texts.ORACLE, **vectors.ORACLE, **stores.ORACLE, **graphs.ORACLE, **streams.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["exact_clusters"](spark, sf_dir)
+    return QUERIES["match_decision"](spark, sf_dir)
