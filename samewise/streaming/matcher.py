@@ -1,8 +1,8 @@
 """Exact matching of a record stream, window by window.
 
 Every micro-batch is numbered on from the batch before it, joined with the rows that did not fill a window, and cut into count windows.
-All full windows of a batch are handled in one plan: a record's match is the first record with its token set in an earlier window, and
-its cluster's survivor the first in its own window. State is parquet under one folder, a subfolder per batch that a repeated batch
+All full windows of a batch are handled in one plan. A record is judged in the first window that holds it: its match is the first record
+with its token set that was judged in an earlier window, and its cluster's survivor the first of those judged with it. State is parquet under one folder, a subfolder per batch that a repeated batch
 replaces, so a batch may run twice: next number, first records by token set, and the rows carried over.
 """
 
@@ -64,10 +64,11 @@ class Matcher:
             self._judge(rest, low, 1, batch + 1)
 
     def _judge(self, pending: DataFrame, low: int, windows: int, batch: int) -> None:
-        first_window = low // self.stride
-        at = F.floor((F.col("rid") - low) / self.stride).cast("long")
-        rows = pending.where(F.col("rid") < low + max(0, windows - 1) * self.stride + (self.size if windows else 0))
-        placed = rows.select("rid", (F.least(at, F.lit(max(windows - 1, 0))) + first_window).alias("window_id"), "token_key")
+        end = low + max(0, windows - 1) * self.stride + (self.size if windows else 0)
+        first = F.greatest(F.lit(0), F.floor((F.col("rid") - self.size) / self.stride) + 1).cast("long")
+        known = self._judged_to(batch - 1)
+        placed = pending.where((F.col("rid") >= known) & (F.col("rid") < end)).select("rid", first.alias("window_id"), "token_key")
+        self._write("judged", batch, self.spark.createDataFrame([(max(known, end),)], "n long"))
         store = self._read("store", "token_key string, rid long, window_id long", batch - 1, False)
         old = store.groupBy("token_key").agg(F.min(F.struct("rid", "window_id")).alias("o")).select("token_key", F.col("o.rid").alias("old_rid"))
         own = placed.groupBy("token_key").agg(F.min(F.struct("rid", "window_id")).alias("f")).select("token_key", F.col("f.rid").alias("first_rid"), F.col("f.window_id").alias("first_window"))
@@ -77,9 +78,13 @@ class Matcher:
         self._write("matches", batch, both.select("rid", "window_id", "survivor", found.alias("match")))
         self._write("store", batch, own.select("token_key", F.col("first_rid").alias("rid"), F.col("first_window").alias("window_id")))
 
+    def _judged_to(self, batch: int) -> int:
+        found = self._read("judged", "n long", batch, True).first()
+        return found[0] if found else 0
+
     def matches(self) -> DataFrame:
-        """(rid, window_id, survivor, match) of all windows so far; with a stride, of a record's first window."""
-        return self._read("matches", "rid long, window_id long, survivor long, match long", 1 << 60, False).groupBy("rid").agg(F.min(F.struct("window_id", "survivor", "match")).alias("m")).select("rid", "m.*")
+        """(rid, window_id, survivor, match) of all windows so far."""
+        return self._read("matches", "rid long, window_id long, survivor long, match long", 1 << 60, False)
 
 
 def run(stream: DataFrame, matcher: Matcher, checkpoint: str, **trigger) -> int:
