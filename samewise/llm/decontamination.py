@@ -186,9 +186,17 @@ def _merged(a: Column, b: Column) -> Column:
     """The hits of two blocks of patterns together."""
     flat = lambda x: F.flatten(F.transform(F.arrays_zip(x["starts"], x["ends"]), lambda s: F.sequence(s["starts"], s["ends"] - 1)))
     both = F.array_sort(F.array_union(flat(a), flat(b)))
-    starts = F.filter(both, lambda x: ~F.array_contains(both, x - 1))
-    ends = F.filter(F.transform(both, lambda x: x + 1), lambda x: ~F.array_contains(both, x))
-    return F.struct(a["n_words"].alias("n_words"), F.size(both).cast("long").alias("n_hit"), starts.alias("starts"), ends.alias("ends"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
+
+    def edges(x: Column) -> Column:
+        """The words that follow no hit word and those that none follows, from neighbours in order."""
+        gap = lambda p, q: F.coalesce(q - p != 1, F.lit(True))
+        before = F.zip_with(F.concat(F.array(F.lit(None).cast("long")), x), x, lambda p, q: F.when(gap(p, q), q))
+        after = F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda p, q: F.when(gap(p, q), p + 1))
+        some = lambda y: F.filter(y, lambda v: v.isNotNull())
+        return F.struct(F.size(x).cast("long").alias("n"), some(before).alias("starts"), some(after).alias("ends"))
+
+    found = F.transform(F.array(both), edges)[0]
+    return F.struct(a["n_words"].alias("n_words"), found["n"].alias("n_hit"), found["starts"].alias("starts"), found["ends"].alias("ends"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"))
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "hits", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
