@@ -16,6 +16,7 @@ from samewise.sources.shared import written
 
 LEAST_SCORE = 0.5  # posterior of the language
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 MIX_BUDGET = 0.9  # of the tokens
 
 
@@ -26,8 +27,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return simhash.deduplicated(docs, words=SHINGLE_WORDS)
+    """One document of each group of near-duplicates, that with the smallest id: five-word shingles similar to 0.8 or more."""
+    return simhash.deduplicated(docs, words=SHINGLE_WORDS, least=SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

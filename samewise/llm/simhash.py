@@ -9,6 +9,9 @@ fingerprints within reach share a cell of the grid of at least one choice of ban
 tested, then the exact Hamming distance. A pair counts in its first common cell only. More documents get more bands, hence finer cells;
 the pairs found are the same. Equal fingerprints are one point, so copies never meet in pairs.
 
+deduplicated() goes further for pipelines: it confirms links by the similarity of shingle sets, and finds pairs that whole fingerprints
+set too far apart by fingerprints of parts.
+
 Edge cases: a NULL, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle make one
 shingle of all of them; a shingle counts as often as it stands in the text; rows may repeat, and each gets its row in the result; a
 component whose ids are all NULL has a NULL id; an empty table gives an empty result. Only the id and text columns are read.
@@ -26,10 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from samewise.llm import textbytes as tb
 from samewise.operators.components import components
 from samewise.sources.shared import written
 
 WORDS, BITS, SEED = 4, 4, 42
+PARTS = 16
+LEVEL_FROM, LEVEL_EDGE = 40, 0.17  # distinct shingles; the edge covers lengths that differ by a fifth
 SEGMENTS = 32
 _LOW = np.uint64(0x0101010101010101)
 _MAX_BAND_ROWS = ((1 << 24, 2), (1 << 28, 3), (1 << 62, 4))  # documents up to which so many bands must agree
@@ -142,17 +148,91 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return clustered(marks, key, bits)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of docs that stay when each component keeps one: that with the smallest key; of rows with equal keys in it, one.
+def partial_prints(text: Column, words: int) -> Column:
+    """Keys of fingerprints over parts of a text's distinct shingles; texts of like length and like shingles share some of them.
+
+    Shingles are dealt by hash into PARTS << level parts, of which PARTS count. The level grows with the text, so that a part has a few
+    shingles at any length and copies with some changed words keep some parts whole. Near the edge of two levels a text has both.
+    """
+
+    @arrow_udf("array<long>")
+    def column(texts: pa.Array) -> pa.Array:
+        lists = []
+        for text in pc.fill_null(texts, ""):
+            h = np.unique(shingle_hashes(text.as_py(), words))
+            at = np.log2(max(len(h), LEVEL_FROM) / LEVEL_FROM)
+            keys = []
+            for level in sorted({int(max(0.0, at - LEVEL_EDGE)), int(at + LEVEL_EDGE)}) if len(h) else ():
+                part = tb.mixed(h) >> np.uint64(60 - level)
+                some = part < PARTS
+                order = np.argsort(part[some], kind="stable")
+                mine, numbers = h[some][order], part[some][order]
+                cuts = np.searchsorted(numbers, np.arange(PARTS + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                prints = majority([mine[cuts[i] : cuts[i + 1]] for i in full])
+                keys.append(tb.paired(full.astype(np.uint64) + np.uint64(level * PARTS), prints).view(np.int64))
+            lists.append(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        sizes = np.cumsum([0, *map(len, lists)])
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
+
+    return column(text)
+
+
+def similarity(a: Column, b: Column, words: int) -> Column:
+    """The Jaccard similarity of the sets of shingles; 1 for two texts without any."""
+
+    @arrow_udf("double")
+    def column(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(pc.fill_null(left, "").to_pylist(), pc.fill_null(right, "").to_pylist(), strict=True):
+            p, q = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            union = len(p) + len(q) - common
+            out.append(common / union if union else 1.0)
+        return pa.array(out, pa.float64())
+
+    return column(a, b)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = BITS) -> DataFrame:
+    """The rows of docs that stay when each group keeps one: that with the smallest key; of rows with equal keys and texts, one.
 
-    Rows are chosen on keys and fingerprints; texts are shuffled once, by both, so that copies spread.
+    Groups are components of links between texts whose shingles are similar to ``least``. Which pairs are compared comes from
+    fingerprints: whole ones within ``bits`` bits, over the grid, and equal partial ones. Of the texts that share a partial fingerprint
+    each is compared with the smallest of them, so a group of very many copies costs as many comparisons as it has texts. Equal texts are
+    one. Every link is confirmed on whole texts; partial fingerprints find nearly all links, not all by proof.
     """
-    marked = written(docs.withColumn("__print", fingerprint(F.col(text), words)), "simhash-marked")
-    found = clustered(marked.select(F.col(key), F.col("__print").alias("print")), key, bits)
-    chosen = found.where(F.col(key).eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("print").alias("print"))
-    stays = chosen.select(F.col("component").alias("__key"), F.col("print").alias("__at"))
-    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__print") == F.col("__at")), "left_semi")
-    return kept.dropDuplicates([key, "__print"]).drop("__print")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    node = F.md5(whole.cast("binary"))
+    own = docs.select(F.col(key).alias("key"), whole.alias("text")).withColumn("node", F.md5(F.col("text").cast("binary")))
+    marks = written(own.select("key", "node", fingerprint(F.col("text"), words).alias("print"), partial_prints(F.col("text"), words).alias("parts")), "simhash-marks")
+    nodes = marks.groupBy("node").agg(F.min("key").alias("key"), F.first("print").alias("print"))
+
+    keyed = marks.select("node", F.explode("parts").alias("part")).distinct()
+    hubs = keyed.groupBy("part").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "hub")
+    by_part = keyed.join(hubs, "part").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    named = written(nodes.groupBy("print").agg(F.min("node").alias("hub")), "simhash-prints")
+    by_print = nodes.join(named, "print").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    linked = links(named.select("print"), named.count(), bits)
+    side = lambda x, n: named.select(F.col("print").alias(x), F.col("hub").alias(n))
+    by_grid = linked.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b")
+    pairs = by_part.union(by_print).union(by_grid).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "simhash-pairs")
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    on = (own["node"] == ends["node"]) & own["key"].eqNullSafe(ends["key"])
+    bodies = written(own.join(ends, on, "left_semi").select("node", "text"), "simhash-texts")
+    body = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
+    near = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", similarity(F.col("text_a"), F.col("text_b"), words).alias("s")).where(F.col("s") >= least)
+    found = components(near, "a", "b")
+
+    grouped = marks.select("key", "node").join(found, "node", "left").withColumn("hub", F.coalesce("component", "node"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("node").alias("node")))
+    stays = grouped.groupBy("hub").agg(first.alias("f")).select(F.col("f.key").alias("__key"), F.col("f.node").alias("__at"))
+    marked = docs.withColumn("__node", node)
+    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__node") == F.col("__at")), "left_semi")
+    return kept.dropDuplicates([key, "__node"]).drop("__node")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
