@@ -17,6 +17,7 @@ QUERIES = {
     "op10_licenses": licenses.query,
 }
 ORACLE = {
+    "op1_sharding": sharding.SQL,
     "op3_mixing": mixing.SQL,
     "op4_decontamination": decontamination.SQL,
 }

@@ -46,7 +46,8 @@ def numbered(df: DataFrame, shard: str = "shard", slot: str = "slot", blocks: in
     starts where the blocks before it end. Only the blocks' counts, at most shards * blocks rows, are broadcast.
     """
     names = df.columns
-    block = F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(blocks)).cast("int")
+    digest = F.md5(F.concat_ws(":", *[F.col(n).cast("string") for n in names]).cast("binary"))
+    block = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")
     counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", block)
     before = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.groupBy(shard, "__block").agg(F.sum("__n").alias("__rows")).withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
@@ -66,3 +67,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+
+
+_DRAWS = "list_transform(range({0}), lambda i: ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT)"
+SQL = f"""
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 AS n, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT) AS b FROM h),
+c AS (SELECT doc_id, n + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]))) AS text_crc32 FROM b, t),
+d AS (SELECT *, {_DRAWS.format(SHARDS)} AS few, {_DRAWS.format(SHARDS + 1)} AS more FROM c),
+s AS (SELECT *, (list_position(few, list_max(few)) - 1)::INTEGER AS shard, (list_position(more, list_max(more)) - 1)::INTEGER AS grown_shard FROM d),
+k AS (SELECT *, ('0x' || substr(md5(concat_ws(':', doc_id, size, text_crc32, shard)), 1, 8))::BIGINT % {BLOCKS} AS block FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM k
+"""
