@@ -64,9 +64,8 @@ def targets_of(cells: DataFrame, dimension: str, budget: float, given: Mapping[s
             raw = raw.when(F.col(dimension) == level, F.lit(float(share)))
         raw = raw.otherwise(0.0)
     parts = sums.select(dimension, "n", raw.alias("raw"))
-    total = parts.agg(F.sum("n").alias("all_n"), F.sum("raw").alias("all_raw"))
-    target = F.when(F.col("all_raw") > 0, budget * F.col("all_n") * F.col("raw") / F.col("all_raw")).otherwise(0.0)
-    return parts.crossJoin(F.broadcast(total)).select(dimension, target.alias("target"))  # one row
+    n, shares = parts.agg(F.sum("n"), F.sum("raw")).first()
+    return parts.select(dimension, (budget * F.lit(n or 0.0) * F.col("raw") / F.lit(shares) if shares else F.lit(0.0)).alias("target"))
 
 
 def raked(cells: DataFrame, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
