@@ -292,6 +292,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     moved = F.transform("covered", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
     spans = back.select("k1", "k2", moved.alias("s")).groupBy("k1", "k2").agg(F.flatten(F.collect_set("s")).alias("spans"))
     changed = texts.select("k1", "k2", "text").join(spans, ["k1", "k2"]).select("k1", "k2", kept(F.col("text"), F.col("spans")).alias("c")).select("k1", "k2", "c.*").dropDuplicates(["k1", "k2"])
+    changed = written(changed, "passages-changed")  # apart from the join below, which then splits where one text has very many copies
     return marks.select("id", "k1", "k2", "n_words", "sha").join(changed, ["k1", "k2"], "left").select(
         F.col("id").alias(key),
         "n_words",
