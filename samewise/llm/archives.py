@@ -265,4 +265,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_arc(pages, arc)
     convert(spark, arc, warc)
     remove(spark, arc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_QUINTETS = "list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1))"
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
+SELECT page_id, payload_bytes, array_to_string({_QUINTETS}, '') AS payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to FROM d
+"""

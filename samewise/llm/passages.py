@@ -306,3 +306,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(w[i:i + {WORDS - 1}], ' ')) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {WORDS - 2})) AS i FROM d WHERE len(w) >= {WORDS})),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT DISTINCT rid, unnest(range(i, i + {WORDS})) AS p FROM rep),
+word AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+rest AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM (SELECT * FROM word ANTI JOIN cov USING (rid, p)) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN rest USING (rid)
+"""

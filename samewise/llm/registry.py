@@ -20,4 +20,6 @@ ORACLE = {
     "op1_sharding": sharding.SQL,
     "op3_mixing": mixing.SQL,
     "op4_decontamination": decontamination.SQL,
+    "op6_archives": archives.SQL,
+    "op9_passages": passages.SQL,
 }
