@@ -37,6 +37,7 @@ WORDS, BITS, SEED = 4, 4, 42
 PARTS = 16
 LEVEL_FROM, LEVEL_EDGE = 40, 0.17  # distinct shingles; the edge covers lengths that differ by a fifth
 SEGMENTS = 32
+SPREAD = 4
 _LOW = np.uint64(0x0101010101010101)
 _MAX_BAND_ROWS = ((1 << 24, 2), (1 << 28, 3), (1 << 62, 4))  # documents up to which so many bands must agree
 
@@ -195,13 +196,55 @@ def similarity(a: Column, b: Column, words: int) -> Column:
     return column(a, b)
 
 
+def similar(pairs: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts in bodies (node, text) are similar to ``least``."""
+    body = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
+    scored = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", similarity(F.col("text_a"), F.col("text_b"), words).alias("s"))
+    return scored.where(F.col("s") >= least).select("a", "b")
+
+
+def linked(members: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, component) of the links within parts. members has part, node, hub and done, which tells the hub.
+
+    A part's hub is compared with its other members. Where these end in several components, more members become hubs, up to SPREAD times
+    as many in each round, those with the most links first; each is compared with the members of other components that have not been
+    hubs. A part is left when one component holds it or every member has been a hub. So groups of copies cost about as many comparisons
+    as they have texts, also where most copies are similar to the original only, and no pair of a part stays unknown. A part of texts
+    that are not similar costs all its pairs.
+    """
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = members.where(~F.col("done")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = written(similar(written(pairs.select(*ordered).distinct(), "simhash-pairs"), bodies, words, least), "simhash-near")
+    found, open_, hubs_of = components(near, "a", "b"), members.select("part", "node", "done"), 1
+    while True:
+        hubs_of *= SPREAD
+        placed = open_.join(found, "node", "left").select("part", "node", "done", F.coalesce("component", "node").alias("c"))
+        split = placed.groupBy("part").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(~F.col("done")).alias("left")).where("lo < hi AND left > 0")
+        degrees = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+        placed = written(placed.join(split.select("part"), "part").join(degrees, "node", "left").fillna(0, ["links"]), "simhash-open")
+        bucket = F.pmod(F.xxhash64("node", F.lit(hubs_of)), F.lit(hubs_of))
+        best = F.min(F.struct((-F.col("links")).alias("l"), F.col("node").alias("node"), F.col("c").alias("c"))).alias("h")
+        hubs = placed.where(~F.col("done")).groupBy("part", bucket.alias("bucket")).agg(best).select("part", F.col("h.node").alias("hub"), F.col("h.c").alias("hub_c"))
+        hubs = written(hubs, "simhash-hubs")
+        if hubs.limit(1).count() == 0:
+            return found
+        met = placed.where(~F.col("done")).join(hubs, "part").where(F.col("c") != F.col("hub_c")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        pairs = written(met.select(*ordered).distinct(), "simhash-pairs")
+        more = written(similar(pairs, bodies, words, least), "simhash-near")
+        if more.limit(1).count():
+            near = near.unionByName(more)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+        chosen = hubs.select("part", F.col("hub").alias("node"), F.lit(True).alias("now"))
+        open_ = placed.join(chosen, ["part", "node"], "left").select("part", "node", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = BITS) -> DataFrame:
     """The rows of docs that stay when each group keeps one: that with the smallest key; of rows with equal keys and texts, one.
 
-    Groups are components of links between texts whose shingles are similar to ``least``. Which pairs are compared comes from
-    fingerprints: whole ones within ``bits`` bits, over the grid, and equal partial ones. Of the texts that share a partial fingerprint
-    each is compared with the smallest of them, so a group of very many copies costs as many comparisons as it has texts. Equal texts are
-    one. Every link is confirmed on whole texts; partial fingerprints find nearly all links, not all by proof.
+    Groups are components of links between texts whose shingles are similar to ``least``. Texts meet over equal fingerprints, whole ones
+    within ``bits`` bits, from the grid, and equal partial ones. Of any two texts that meet, either both end in one group, or they have been
+    compared and are not similar: see linked(). Equal texts are one. Every link is confirmed on whole texts. Similar texts that share no
+    fingerprint are missed; that is rare, but not excluded.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     node = F.md5(whole.cast("binary"))
@@ -209,23 +252,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     marks = written(own.select("key", "node", fingerprint(F.col("text"), words).alias("print"), partial_prints(F.col("text"), words).alias("parts")), "simhash-marks")
     nodes = marks.groupBy("node").agg(F.min("key").alias("key"), F.first("print").alias("print"))
 
-    keyed = marks.select("node", F.explode("parts").alias("part")).distinct()
+    named = written(nodes.groupBy("print").agg(F.count(F.lit(1)).alias("n")), "simhash-prints")
+    close = links(named.select("print"), named.count(), bits).select(F.xxhash64(F.lit("near"), "src", "dst").alias("part"), F.explode(F.array("src", "dst")).alias("print"))
+    by_part = marks.select("node", F.explode("parts").alias("part")).distinct()
+    by_print = nodes.join(named.where("n > 1"), "print").select("node", F.xxhash64(F.lit("equal"), "print").alias("part"))
+    by_grid = nodes.join(close, "print").select("node", "part")
+    keyed = by_part.unionByName(by_print).unionByName(by_grid)
     hubs = keyed.groupBy("part").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "hub")
-    by_part = keyed.join(hubs, "part").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    named = written(nodes.groupBy("print").agg(F.min("node").alias("hub")), "simhash-prints")
-    by_print = nodes.join(named, "print").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    linked = links(named.select("print"), named.count(), bits)
-    side = lambda x, n: named.select(F.col("print").alias(x), F.col("hub").alias(n))
-    by_grid = linked.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b")
-    pairs = by_part.union(by_print).union(by_grid).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "simhash-pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    members = written(keyed.join(hubs, "part").select("part", "node", (F.col("node") == F.col("hub")).alias("done"), "hub"), "simhash-members")
+
+    ends = members.select("node").distinct().join(nodes.select("node", "key"), "node")
     on = (own["node"] == ends["node"]) & own["key"].eqNullSafe(ends["key"])
     bodies = written(own.join(ends, on, "left_semi").select("node", "text"), "simhash-texts")
-    body = lambda n: bodies.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    near = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", similarity(F.col("text_a"), F.col("text_b"), words).alias("s")).where(F.col("s") >= least)
-    found = components(near, "a", "b")
+    found = linked(members, bodies, words, least)
 
     grouped = marks.select("key", "node").join(found, "node", "left").withColumn("hub", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("node").alias("node")))

@@ -72,3 +72,42 @@ def test_links_are_whole(spark, monkeypatch, agree):
     assert len(found) == len(set(found)) and set(found) == want
     bound = points.alias("a").crossJoin(points.alias("b")).where(F.bit_count(simhash.unary_counts(F.col("a.print")).bitwiseXOR(simhash.unary_counts(F.col("b.print")))) > F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))))
     assert bound.count() == 0
+
+
+def test_variants_of_one_original_are_one_group(spark):
+    rng = np.random.default_rng(3)
+    original = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    texts = [" ".join(original)]
+    for v in range(400):
+        words = list(original)
+        for i in rng.choice(200, 4, replace=False):
+            words[i] = f"v{v}x{i}"
+        texts.append(" ".join(words))
+    others = [" ".join(f"o{i}" for i in rng.integers(0, 5000, 200)) for _ in range(20)]
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for x in texts]
+    similar = [i for i in range(1, 401) if len(sets[0] & sets[i]) / len(sets[0] | sets[i]) >= 0.8]
+    docs = spark.createDataFrame([(i, texts[i]) for i in [0, *similar]] + [(1000 + i, x) for i, x in enumerate(others)], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.deduplicated(docs).collect())
+    assert len(similar) > 300 and kept == [0, *range(1000, 1020)]
+
+
+def test_texts_that_meet_are_in_one_group_or_not_similar(spark):
+    rng = np.random.default_rng(4)
+    texts = {}
+    for family in range(6):
+        original = [f"{family}w{i}" for i in range(60)]
+        for v in range(12):
+            words = [w if rng.random() > 0.02 else f"n{v}" for w in original]
+            texts[f"{family}-{v:02d}"] = " ".join(words)
+    members = [("all", n, n == min(texts), min(texts)) for n in texts]
+    found = simhash.linked(spark.createDataFrame(members, "part string, node string, done boolean, hub string"), spark.createDataFrame(list(texts.items()), "node string, text string"), 5, 0.8)
+    got = {r.node: r.component for r in found.collect()}
+    sets = {n: set(simhash.shingle_hashes(x, 5).tolist()) for n, x in texts.items()}
+    want, moved = {n: n for n in texts}, True
+    while moved:
+        moved = False
+        for a in texts:
+            for b in texts:
+                if want[a] < want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    want[b], moved = want[a], True
+    assert {n: got.get(n, n) for n in texts} == want and 6 <= len(set(want.values())) < 60
