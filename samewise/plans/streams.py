@@ -66,7 +66,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = graphs._starts(spark, sf_dir).where("walk_id < 2000")
+    starts = graphs._starts(spark, sf_dir)
     return written(walks.walk(starts, graph.indexed(graphs._edges(spark, sf_dir)), 7, seed=graphs.SEED), "walks")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samewise import app, config
+from samewise.plans import streams
 from samewise.sources import graphs, records
 from samewise.sources.shared import fresh_path
 from samewise.streaming import matcher, windows
@@ -102,3 +103,9 @@ def test_evaluation_task(spark, tmp_path):
     spark.createDataFrame(rows, "key string, similarity string").write.parquet(path)
     best = app.run(spark, {"task": "evaluation", "similarity_file": path, "match_file": str(tmp_path / "truth.txt"), "source_a": 3}).first()
     assert (best.f1, best.threshold, best.k) == (1.0, 0.8, 1)
+
+
+def test_training_walks_start_at_every_customer(spark):
+    sf = "/root/testdata/sf0.01"
+    customers = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert customers > 1000 and streams._walked(spark, sf).select("root").distinct().count() == customers
