@@ -51,23 +51,32 @@ def train_shard(sentences: list[list[str]], known: dict[str, tuple], size: int,
     odds = np.cumsum(odds / odds.sum()) if len(odds) else odds
     rng = np.random.default_rng(seed)
     lines = [np.array([number[w] for w in s]) for s in sentences if len(s) > 1]
+
+    def learn(sources: np.ndarray, shares: np.ndarray, target: np.ndarray, step: float) -> None:
+        """Predict each target from the mean of its row of sources, which the shares weigh."""
+        drawn = np.searchsorted(odds, rng.random((len(target), negative))).clip(max=len(words) - 1)
+        targets = np.concatenate([target[:, None], drawn], axis=1)
+        label = np.zeros(targets.shape)
+        label[:, 0] = 1
+        out, mid = ctx[targets], np.einsum("ij,ijk->ik", shares, vec[sources])
+        error = (label - 1 / (1 + np.exp(-np.clip(np.einsum("ijk,ik->ij", out, mid), -15, 15)))) * step
+        np.add.at(vec, sources, shares[:, :, None] * np.einsum("ij,ijk->ik", error, out)[:, None, :])
+        np.add.at(ctx, targets.ravel(), (error[:, :, None] * mid[:, None, :]).reshape(-1, size))
+
+    shifts = np.array([i for i in range(-window, window + 1) if i])
     for epoch in range(epochs):
         step = rate * max(0.1, 1 - epoch / max(1, epochs))
         for line in lines:
+            if cbow:
+                at = np.arange(len(line))[:, None] + shifts
+                inside = (at >= 0) & (at < len(line))
+                learn(line[at.clip(0, len(line) - 1)], inside / inside.sum(axis=1, keepdims=True), line, step)
+                continue
             for shift in range(1, window + 1):
                 if len(line) <= shift:
                     break
                 a, b = np.append(line[:-shift], line[shift:]), np.append(line[shift:], line[:-shift])
-                if cbow:
-                    a, b = b, a
-                drawn = np.searchsorted(odds, rng.random((len(a), negative))).clip(max=len(words) - 1)
-                targets = np.concatenate([b[:, None], drawn], axis=1)
-                label = np.zeros(targets.shape)
-                label[:, 0] = 1
-                out, mid = ctx[targets], vec[a]
-                error = (label - 1 / (1 + np.exp(-np.clip(np.einsum("ijk,ik->ij", out, mid), -15, 15)))) * step
-                np.add.at(vec, a, np.einsum("ij,ijk->ik", error, out))
-                np.add.at(ctx, targets.ravel(), (error[:, :, None] * mid[:, None, :]).reshape(-1, size))
+                learn(a[:, None], np.ones((len(a), 1)), b, step)
     return {w: (vec[i], ctx[i], places[w]) for w, i in number.items()}
 
 
