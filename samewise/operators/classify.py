@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from samewise.functions import text as T
 from samewise.operators.evaluate import classification
 
-MAX_WORDS = 128  # of both texts, as the tokenizer of a language model cuts them
-
 
 def featured(pairs: DataFrame) -> DataFrame:
     """text1, text2 and labels with words, the common share of words and of character trigrams, and the difference in length."""
-    words = lambda c: F.slice(T.tokens(T.clean_str(F.coalesce(F.col(c), F.lit("")))), 1, MAX_WORDS // 2)
+    words = lambda c: T.tokens(T.clean_str(F.coalesce(F.col(c), F.lit(""))))
     out = pairs.withColumn("w1", words("text1")).withColumn("w2", words("text2"))
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.array_join(c, " ")) - 2, F.lit(1))), lambda i: F.substr(F.array_join(c, " "), i, F.lit(3)))
     out = out.withColumn("words", F.concat(F.array_intersect("w1", "w2"), F.transform(F.array_except("w1", "w2"), lambda x: F.concat(F.lit("1_"), x)), F.transform(F.array_except("w2", "w1"), lambda x: F.concat(F.lit("2_"), x))))
