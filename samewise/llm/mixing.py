@@ -1,12 +1,13 @@
 """Mixing of sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Tokens are summed by cell of source, language and topic. The cells' weights are raked: each sweep scales them to the targets of one
-dimension after the other, and never above the tokens that a cell has. A document's probability is its cell's weight over its cell's
+dimension after the other, and never above the tokens that a cell has, until no weight moves by more than CONVERGED of itself or SWEEPS are done. A document's probability is its cell's weight over its cell's
 tokens, and it is taken if a number drawn from the hash of its key is below it, so a repeated run takes the same documents.
 
 The targets of a level are its share of the budget: the share given for it, or its tokens to the power TEMPER, which lifts small levels.
-Level sums are aggregations that combine before the shuffle. Every sweep works on the cells only and is written to the shared folder.
-Cells are broadcast to the documents up to MAX_BROADCAST of them, and joined by shuffle beyond.
+Cells are sums that combine before the shuffle. Up to MAX_CELLS of them are raked on the driver, a few numbers each, in plain arithmetic,
+and broadcast to the documents; beyond it, level sums are aggregations, every sweep is written to the shared folder, and the cells are joined by shuffle.
+The two ways do the same steps. residuals() tells how far the levels are from their targets, which caps can leave out of reach.
 
 Topics come from a column if there is one; else from the first of a list of patterns that the text holds.
 
@@ -17,7 +18,9 @@ an empty table gives an empty result. Result columns replace input columns of th
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from math import fsum
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +31,9 @@ from samewise.sources.shared import written
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET = 0.7  # of all tokens
 TEMPER = 0.7
-SWEEPS = 8
-MAX_BROADCAST = 50_000
+SWEEPS = 20
+CONVERGED = 1e-12
+MAX_CELLS = 50_000
 NONE = "(none)"
 # Topics and the patterns that show them, the first that fits counts.
 TOPICS = (("legal", "[Ll]icen[sc]e"), ("contact", "@|[+][0-9]"), ("data", "[0-9]|[|]"))
@@ -71,32 +75,83 @@ def targets_of(cells: DataFrame, dimension: str, budget: float, given: Mapping[s
 def raked(cells: DataFrame, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """Cells with tokens n, with their weight w in tokens."""
     cells = written(cells, "mixing-cells")
+    few = cells.select(*DIMENSIONS, "n").limit(MAX_CELLS + 1).collect()
+    if len(few) <= MAX_CELLS:
+        return _raked_here(cells.sparkSession, [tuple(r) for r in few], budget, targets or {}, sweeps)
     wanted = {d: written(targets_of(cells, d, budget, (targets or {}).get(d)), "mixing-targets") for d in DIMENSIONS}
     cells = cells.withColumn("w", F.col("n") * budget)
     for _ in range(sweeps):
+        cells = cells.withColumn("w0", F.col("w"))
         for d in DIMENSIONS:
             sums = cells.groupBy(d).agg(F.sum("w").alias("s")).join(wanted[d], d)
             scale = sums.select(d, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("scale"))
-            cells = cells.join(scale, d).select(*DIMENSIONS, "n", F.least("n", F.col("w") * F.col("scale")).alias("w"))
+            cells = cells.join(scale, d).select(*DIMENSIONS, "n", "w0", F.least("n", F.col("w") * F.col("scale")).alias("w"))
         cells = written(cells, "mixing-cells")
+        moved = cells.where(F.abs(F.col("w") - F.col("w0")) > CONVERGED * F.greatest("w", "w0")).limit(1).count()
+        cells = cells.drop("w0")
+        if not moved:
+            break
     return cells
 
 
+def _raked_here(spark: SparkSession, cells: list[tuple], budget: float, targets: Mapping[str, Mapping[str, float]], sweeps: int) -> DataFrame:
+    """The same for cells (source, lang, topic, n) that the driver holds."""
+    n = [c[3] for c in cells]
+    total = fsum(n)
+    level = [[c[i] for c in cells] for i in range(len(DIMENSIONS))]
+    wanted = []
+    for names, d in zip(level, DIMENSIONS, strict=True):
+        sums = _level_sums(names, n)
+        raw = {x: (v**TEMPER if v > 0 else 0.0) if targets.get(d) is None else float(targets[d].get(x, 0.0)) for x, v in sums.items()}
+        shares = fsum(raw.values())
+        wanted.append({x: budget * total * v / shares if shares else 0.0 for x, v in raw.items()})
+    w = [x * budget for x in n]
+    for _ in range(sweeps):
+        before = w
+        for names, goal in zip(level, wanted, strict=True):
+            sums = _level_sums(names, w)
+            scale = {x: goal[x] / s if s > 0 else 0.0 for x, s in sums.items()}
+            w = [min(most, x * scale[name]) for most, x, name in zip(n, w, names, strict=True)]
+        if all(abs(a - b) <= CONVERGED * max(a, b) for a, b in zip(w, before, strict=True)):
+            break
+    rows = json.dumps([dict(zip((*DIMENSIONS, "n", "w"), (*c, x), strict=True)) for c, x in zip(cells, w, strict=True)])
+    schema = f"array<struct<{', '.join(f'{d}:string' for d in DIMENSIONS)}, n:double, w:double>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(rows), schema)).alias("c")).select("c.*")
+
+
+def _level_sums(names: list[str], values: list[float]) -> dict[str, float]:
+    parts: dict[str, list[float]] = {}
+    for name, value in zip(names, values, strict=True):
+        parts.setdefault(name, []).append(value)
+    return {name: fsum(x) for name, x in parts.items()}
+
+
+def residuals(cells: DataFrame, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """(dimension, level, target, reached) in tokens, of raked cells."""
+    out = None
+    for d in DIMENSIONS:
+        reached = cells.groupBy(d).agg(F.sum("w").alias("reached")).join(targets_of(cells, d, budget, (targets or {}).get(d)), d)
+        part = reached.select(F.lit(d).alias("dimension"), F.col(d).alias("level"), "target", "reached")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mixed(docs: DataFrame, cells_of: DataFrame | None = None, key: str = "doc_id", budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None, seed: str = "mix") -> DataFrame:
     """Add probability and selected to described documents; cells_of are the same rows, if they can be had cheaper."""
     sums = (docs if cells_of is None else cells_of).groupBy(*DIMENSIONS).agg(F.sum("tokens").cast("double").alias("n"))
     cells = raked(sums, budget, targets)
     chance = cells.select(*DIMENSIONS, F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(budget).alias("probability"))
-    few = chance.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    drawn = uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
+    few = chance.limit(MAX_CELLS + 1).count() <= MAX_CELLS
+    drawn = uniform(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(seed))
     return docs.drop("probability").join(F.broadcast(chance) if few else chance, list(DIMENSIONS)).withColumn("selected", drawn < F.col("probability"))
 
 
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """The rows of docs that are taken, as they are."""
-    own = docs.select("*", F.struct(*docs.columns).alias("__own"))
-    taken = mixed(described(own, text).select("__own", F.col(key), *[x for x in DIMENSIONS if x != key], "tokens"), key=key, budget=budget, targets=targets).where("selected")
-    return taken.select("__own.*")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
+    known = [F.col(d) for d in DIMENSIONS if d in docs.columns]
+    rows = described(docs.select(own, F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), *known), "__text").drop("__text")
+    return mixed(rows, key="__key", budget=budget, targets=targets).where("selected").select("__own.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,15 +22,18 @@ def brute(cells, budget, targets, sweeps=mixing.SWEEPS):
     return dict(zip(keys, w, strict=True))
 
 
-def test_weights(spark):
+def test_weights(spark, monkeypatch):
     rng = random.Random(3)
     cells = {(s, x, t): float(rng.choice([0, 5, 70, 900])) for s in ("a", "b", "c", "d") for x in ("en", "de") for t in ("x", "y", "z") if rng.random() < 0.8}
     frame = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, n double")
     for budget, targets in ((0.7, None), (0.3, {"lang": {"en": 1, "de": 1}, "source": {"a": 3, "b": 1}})):
-        found = {(r.source, r.lang, r.topic): r.w for r in mixing.raked(frame, budget, targets).collect()}
         want = brute(cells, budget, [(targets or {}).get(d) for d in mixing.DIMENSIONS])
-        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
-        assert all(w <= cells[k] for k, w in found.items())
+        for most in (mixing.MAX_CELLS, 1):
+            monkeypatch.setattr(mixing, "MAX_CELLS", most)
+            found = {(r.source, r.lang, r.topic): r.w for r in mixing.raked(frame, budget, targets).collect()}
+            assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+            assert all(w <= cells[k] for k, w in found.items())
+        monkeypatch.undo()
 
 
 def test_edges(spark):
@@ -51,3 +54,16 @@ def test_marginals_are_met(spark):
     shares = found.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("probability")).alias("x")).collect()
     total = sum(r.x for r in shares)
     assert all(abs(r.x / total - 0.25) < 0.03 for r in shares)
+
+
+def test_sweeps_end_when_nothing_moves(spark):
+    frame = spark.createDataFrame([("a", "en", "x", 50.0), ("a", "de", "x", 50.0), ("b", "en", "x", 100.0), ("b", "de", "x", 100.0)], "source string, lang string, topic string, n double")
+    for r in mixing.residuals(mixing.raked(frame, 0.5, sweeps=10_000), 0.5).collect():
+        assert abs(r.target - r.reached) < 1e-6
+
+
+def test_clashing_and_dotted_columns(spark):
+    rows = [(i, "some words", "s", "en", 1, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, `a.b` int, tokens int, probability int")
+    found = mixing.sampled(docs)
+    assert found.columns == docs.columns and 0 < found.count() < 40 and mixing.sampled(docs.where("false")).count() == 0
