@@ -1,12 +1,13 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 A text becomes its 1- to 3-grams of lower-case characters, hashed into BUCKETS columns. Training adds up the counts of a bounded sample
-of labelled texts and takes smoothed log probabilities. The matrix, BUCKETS rows of one number per language, is broadcast: its size does
-not grow with the data, only with the number of languages, which MAX_LANGUAGES bounds. Scoring gathers matrix rows for all n-grams of
-a batch at once and adds them up by text; texts of any length are scored whole, in stretches.
+of labelled texts and takes smoothed log probabilities. The matrix has BUCKETS rows of one number per language and is broadcast. It is kept
+as each language's number for columns not seen with it, and what the seen ones have above that; so its size is bounded by the sample, however
+many values a dirty language column has. Scoring gathers matrix rows for all n-grams of a batch at once and adds them up by text; texts
+of any length are scored whole, in stretches.
 
-The sample: of the rows with text and language, those with the SAMPLE least hashes of key and text; it is chosen by the hashes alone, and
-its counts are added up by all executors.
+The sample: of the rows with text and language, those with the SAMPLE least hashes of key and text; it is chosen by the hashes alone, rows
+that repeat key and text count once, and its counts are added up by all executors.
 
 Edge cases: a NULL text, or one without a letter, gets ``und`` with score 0, and so does every text if nothing could be learned; rows
 without language are not learned from; a NULL document number is neither held out nor learned from; an empty table gives an empty
@@ -27,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
-MAX_LANGUAGES = 256
+DENSE = 64  # languages up to which the matrix is laid out in full for scoring; the numbers are the same
 SMOOTHING = 0.5
 LARGEST_N = 3
 PIECE = 1 << 18  # characters scored at once
@@ -37,7 +38,16 @@ UNKNOWN = "und"
 class Model(NamedTuple):
     languages: list[str]
     log_prior: np.ndarray
-    log_likelihood: np.ndarray  # (BUCKETS, languages)
+    unseen: np.ndarray  # by language, the log likelihood of a column that was not seen with it
+    first: np.ndarray  # BUCKETS + 1 places in of and above
+    of: np.ndarray  # languages that a column was seen with
+    above: np.ndarray  # their log likelihood less unseen
+
+    def likelihoods(self) -> np.ndarray:
+        """The whole matrix, (BUCKETS, languages)."""
+        out = np.repeat(self.unseen[None, :], BUCKETS, axis=0)
+        out[np.repeat(np.arange(BUCKETS), np.diff(self.first)), self.of] += self.above
+        return np.asfortranarray(out)
 
 
 def grams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,8 +66,9 @@ def stretches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n-gram is in the stretch where it starts."""
     codes, owner, held = [], [], 0
     for d, text in enumerate(texts):
-        for a in range(0, len(text) + 1, PIECE):
-            part = (" " + text)[a : a + PIECE + LARGEST_N - 1] if len(text) >= PIECE else " " + text
+        whole = " " + text
+        for a in range(0, len(whole), PIECE):
+            part = whole[a : a + PIECE + LARGEST_N - 1]
             codes.append(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32))
             mine = np.full(len(codes[-1]), d)
             mine[PIECE:] = -1
@@ -100,34 +111,44 @@ def counted(labelled: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the bounded sample. The driver gets one number per language and column, at most MAX_LANGUAGES * BUCKETS."""
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    most = labelled.select(mark.alias("mark")).orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
+    """Fit on the bounded sample. The driver gets one number per language and column that were seen together in it."""
+    labelled = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("mark")).where("text IS NOT NULL AND lang IS NOT NULL")
+    most = labelled.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
     if most is None:
-        return Model([], np.zeros(0), np.zeros((BUCKETS, 0)))
-    chosen = labelled.where(mark <= most)
-    priors = {r[0]: r[1] for r in chosen.groupBy(F.col(lang).cast("string")).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(priors) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        return Model([], np.zeros(0), np.zeros(0), np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    chosen = labelled.where(F.col("mark") <= most).groupBy("mark").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang")
+    priors = {r[0]: r[1] for r in chosen.groupBy("lang").count().collect()}
     languages = sorted(priors)
-    counts = np.full((BUCKETS, len(languages)), SMOOTHING)
-    found = counted(chosen, text, lang).toArrow()
+    found = counted(chosen, "text", "lang").toArrow()
+    column, n = found["column"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(float)
+    coded = found["lang"].combine_chunks().dictionary_encode()
     slot = {x: i for i, x in enumerate(languages)}
-    counts[found["column"].to_numpy(), [slot[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
+    of = np.array([slot[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(column) else np.zeros(0, np.int64)
+    total = np.bincount(of, n, len(languages)) + SMOOTHING * BUCKETS
+    order = np.lexsort((of, column))
+    first = np.searchsorted(column[order], np.arange(BUCKETS + 1))
     prior = np.array([priors[x] for x in languages], float)
-    return Model(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)))
+    return Model(languages, np.log(prior / prior.sum()), np.log(SMOOTHING / total), first, of[order], np.log1p(n[order] / SMOOTHING))
 
 
-def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Log posteriors up to a constant, a row per text: the prior and the sum over the text's n-grams."""
+def scores(model: Model, texts: list[str], matrix: np.ndarray | None = None) -> np.ndarray:
+    """Log posteriors up to a constant, a row per text: the prior and the sum over the text's n-grams; matrix is the model's, in full."""
     out = np.repeat(model.log_prior[None, :], len(texts), axis=0)
     for codes, owner in stretches(texts):
         for text, column in _placed(codes, owner):
-            if len(text):
-                new = np.flatnonzero(np.diff(text, prepend=-1))
+            if not len(text):
+                continue
+            new = np.flatnonzero(np.diff(text, prepend=-1))
+            if matrix is not None:
                 for j in range(len(model.languages)):
-                    out[text[new], j] += np.add.reduceat(model.log_likelihood[:, j][column], new)
+                    out[text[new], j] += np.add.reduceat(matrix[:, j][column], new)
+                continue
+            out[text[new]] += np.diff(np.append(new, len(text)))[:, None] * model.unseen
+            for a in range(0, len(column), 1 << 14):
+                t, c = text[a : a + (1 << 14)], column[a : a + (1 << 14)]
+                sizes = model.first[c + 1] - model.first[c]
+                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(model.first[c], sizes)
+                np.add.at(out, (np.repeat(t, sizes), model.of[at]), model.above[at])
     return out
 
 
@@ -135,22 +156,32 @@ def identified(model: Model, text: Column, spark: SparkSession) -> Column:
     """A struct of lang and score, the posterior probability of the language."""
     if not model.languages:
         return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(model._replace(log_likelihood=np.asfortranarray(model.log_likelihood.astype(np.float32).astype(np.float64))))
+    shared = spark.sparkContext.broadcast(model)
+    laid: list[np.ndarray] = []
 
     @arrow_udf("struct<lang:string,score:double>")
     def column(texts: pa.Array) -> pa.Array:
         model = shared.value
-        total = scores(model, pc.fill_null(texts, "").to_pylist())
-        best = total.argmax(axis=1) if len(total) else np.zeros(0, np.int64)
-        part = np.exp(total - total.max(axis=1, keepdims=True)) if len(total) else total
-        score = part.max(axis=1) / part.sum(axis=1) if len(total) else np.zeros(0)
-        return pa.StructArray.from_arrays([pa.array([model.languages[i] for i in best.tolist()], pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+        if not laid and len(model.languages) <= DENSE:
+            laid.append(model.likelihoods())
+        listed = pc.fill_null(texts, "").to_pylist()
+        step = max(1, (1 << 22) // len(model.languages))  # texts at once, for which a row of all languages is held
+        parts = [_best(model, scores(model, listed[a : a + step], laid[0] if laid else None)) for a in range(0, len(listed), step)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     found = column(F.lower(F.when(lettered, text)))
     return F.struct(F.when(lettered, found["lang"]).otherwise(UNKNOWN).alias("lang"), F.when(lettered, found["score"]).otherwise(0.0).alias("score"))
 
 
+def _best(model: Model, total: np.ndarray) -> pa.Array:
+    """The likeliest language of each row of log posteriors, and its share."""
+    best = total.argmax(axis=1)
+    part = np.exp(total - total.max(axis=1, keepdims=True))
+    score = part.max(axis=1) / part.sum(axis=1)
+    return pa.StructArray.from_arrays([pa.array([model.languages[i] for i in best.tolist()], pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """Add a struct of lang and score."""
     return docs.withColumn(out, identified(model, F.col(text), docs.sparkSession))

@@ -6,14 +6,14 @@ from samewise.llm import language
 
 def brute(model, text):
     """One n-gram at a time."""
-    total = model.log_prior.copy()
+    total, matrix = model.log_prior.copy(), model.likelihoods()
     text = " " + text.lower()
     for i in range(len(text)):
         for n in range(1, 4):
             if i + n <= len(text):
                 codes = np.array([ord(c) for c in text[i : i + n]], np.uint32)
                 column = list(language.grams(codes))[n - 1][1][0]
-                total += model.log_likelihood[column]
+                total += matrix[column]
     return total
 
 
@@ -22,7 +22,36 @@ def test_scores_are_those_of_single_grams(spark, monkeypatch):
     model = language.trained_on(docs)
     texts = [r.text for r in docs.limit(15).collect()] + ["", "x", "é" * 50, "word " * 40]
     monkeypatch.setattr(language, "PIECE", 100)
-    assert np.allclose(language.scores(model, [t[:900].lower() for t in texts]), [brute(model, t[:900]) for t in texts])
+    want = [brute(model, t[:900]) for t in texts]
+    for matrix in (None, model.likelihoods()):
+        assert np.allclose(language.scores(model, [t[:900].lower() for t in texts], matrix), want)
+
+
+def test_training_counts_and_priors(spark):
+    """The matrix against counts of single n-grams in plain Python."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text is not None and r.lang is not None]
+    model = language.train(spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string"))
+    distinct = {(r.doc_id, r.text): r.lang for r in rows}
+    langs = sorted(set(distinct.values()))
+    counts = np.full((language.BUCKETS, len(langs)), language.SMOOTHING)
+    for (_, text), lang in distinct.items():
+        codes = np.array([ord(c) for c in " " + text.lower()], np.uint32)
+        for _, columns in language.grams(codes):
+            for c in columns.tolist():
+                counts[c, langs.index(lang)] += 1
+    priors = np.array([sum(x == lang for x in distinct.values()) for lang in langs], float)
+    assert model.languages == langs and np.allclose(model.log_prior, np.log(priors / priors.sum()))
+    assert np.allclose(model.likelihoods(), np.log(counts / counts.sum(axis=0)))
+
+
+def test_many_languages_and_repeated_rows(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 8, f"x{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame([*rows, *[(7, "repeated words", "x007")] * 500], "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    model = language.train(docs, sample=10_000)
+    assert len(model.languages) == 300 and np.isclose(np.exp(model.log_prior).max(), 2 / 301)
+    found = language.identify(docs.where("doc_id <> 7"), model).collect()
+    assert np.mean([r.language.lang == r.lang for r in found]) > 0.95
+    assert len(language.train(docs, sample=40).languages) <= 40
 
 
 def test_held_out_accuracy_and_edges(spark):
