@@ -7,7 +7,8 @@ and they are compared with the window word by word, last with the words' bytes.
 that numpy does the work of each step at once.
 
 The items are measured first. Up to ``block_bytes`` they are one block of patterns that is broadcast; beyond it they are dealt into
-several blocks, each searched over all documents after the one before it was written, so that no broadcast exceeds the block.
+several blocks, each searched over all documents after the one before it was written. A block's tables take up to some 100 bytes for
+each word of its items, which is what bounds a broadcast: 40 MB for a block of words of five letters, 100 MB for words of one.
 
 Edge cases: a NULL or empty text has no words; an item without words, or whose id or text is NULL, is no item; equal items are
 all named; a word is hit once however many occurrences cover it; no items mean no hits; an empty table gives an empty result. The
@@ -30,7 +31,7 @@ from samewise.llm import textbytes as tb
 from samewise.sources.shared import written
 
 WIDTH = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 LANE = 512
 HITS = "struct<n_words:bigint,n_hit:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
 
@@ -40,7 +41,8 @@ class Searcher(NamedTuple):
 
     size: int
     patterns: np.ndarray  # (patterns, size) word hashes, ordered by the bucket of their last block
-    owners: list[list[str]]
+    first: np.ndarray  # pattern to its first place in owners
+    owners: np.ndarray  # numbers of items
     shift: np.ndarray
     head: np.ndarray  # bucket to first pattern
 
@@ -51,39 +53,47 @@ class Searcher(NamedTuple):
 
 class Patterns(NamedTuple):
     searchers: list[Searcher]
+    keys: list[str]
     spelling: dict[int, bytes]
 
+    def nbytes(self) -> int:
+        """Bytes of the tables."""
+        return sum(x.nbytes for s in self.searchers for x in (s.patterns, s.first, s.owners, s.shift, s.head)) + sum(map(len, self.spelling.values()))
+
 
 def compiled(items: list[tuple[str, str]], width: int = WIDTH) -> Patterns:
     """Searchers over the windows of (id, text) items."""
-    owners: dict[tuple[int, ...], set[str]] = {}
     spelling: dict[int, bytes] = {}
-    for key, text in items:
+    grids: dict[int, list[np.ndarray]] = {}
+    owners: dict[int, list[np.ndarray]] = {}
+    for number, (_, text) in enumerate(items):
         raw = np.frombuffer(text.encode(), np.uint8)
         w = tb.words(raw, np.array([0, len(raw)]), tb.ALNUM)
-        hashes = w.hash.tolist()
-        spelling |= {h: w.word(i) for i, h in enumerate(hashes)}
-        size = min(width, len(hashes))
-        for i in range(len(hashes) - size + 1) if size else ():
-            owners.setdefault(tuple(hashes[i : i + size]), set()).add(key)
-    by_size: dict[int, list[tuple[int, ...]]] = {}
-    for pattern in owners:
-        by_size.setdefault(len(pattern), []).append(pattern)
-    return Patterns([_searcher(found, owners) for _, found in sorted(by_size.items())], spelling)
-
-
-def _searcher(found: list[tuple[int, ...]], owners: dict[tuple[int, ...], set[str]]) -> Searcher:
-    grid = np.array(found, np.uint64)
+        spelling |= {h: w.word(i) for i, h in enumerate(w.hash.tolist())}
+        size = min(width, len(w.hash))
+        if size:
+            grids.setdefault(size, []).append(np.lib.stride_tricks.sliding_window_view(w.hash, size))
+            owners.setdefault(size, []).append(np.full(len(w.hash) - size + 1, number, np.int32))
+    return Patterns([_searcher(np.concatenate(grids[n]), np.concatenate(owners[n])) for n in sorted(grids)], [key for key, _ in items], spelling)
+
+
+def _searcher(grid: np.ndarray, owners: np.ndarray) -> Searcher:
+    """grid has a row of word hashes per window, owners the number of its item."""
+    grid, which = np.unique(grid, axis=0, return_inverse=True)
     count, size = grid.shape
     block = min(2, size)
-    slots = 1 << max(10, (8 * count * size - 1).bit_length())
+    slots = 1 << max(10, (4 * count - 1).bit_length())  # windows overlap, so there are hardly more blocks than windows
     shift = np.full(slots, size - block + 1, np.uint8 if size < 255 else np.int32)
     for end in range(block - 1, size):
         np.minimum.at(shift, _slot(grid[:, end - block + 1 : end + 1], slots), size - 1 - end)
     last = _slot(grid[:, size - block :], slots)
     order = np.argsort(last, kind="stable")
-    head = np.searchsorted(last[order], np.arange(slots + 1)).astype(np.int32)
-    return Searcher(size, grid[order], [sorted(owners[found[i]]) for i in order], shift, head)
+    head = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=slots))]).astype(np.int32)
+    place = np.empty(count, np.int64)
+    place[order] = np.arange(count)
+    pairs = np.unique(np.stack([place[which.ravel()], owners], axis=1), axis=0)
+    first = np.searchsorted(pairs[:, 0], np.arange(count + 1)).astype(np.int32)
+    return Searcher(size, grid[order], first, pairs[:, 1].astype(np.int32), shift, head)
 
 
 def _slot(block: np.ndarray, slots: int) -> np.ndarray:
@@ -158,7 +168,7 @@ def hits(patterns: Patterns, data: np.ndarray, offsets: np.ndarray) -> list[tupl
             np.add.at(hit, ends + 1, -1)
             text = np.searchsorted(w.first, ends, "right") - 1
             for d, p in np.unique(np.stack([text, which], axis=1), axis=0).tolist():
-                named.setdefault(d, set()).update(s.owners[p])
+                named.setdefault(d, set()).update(patterns.keys[i] for i in s.owners[s.first[p] : s.first[p + 1]].tolist())
     flags = np.cumsum(hit[:-1]) > 0
     out = []
     for d in range(len(offsets) - 1):

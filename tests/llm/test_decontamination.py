@@ -71,8 +71,20 @@ def test_shift_skips_only_what_cannot_match():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 5, 4000).astype(np.uint64)
     patterns = {tuple(int(x) for x in text[a : a + 6]) for a in range(0, 3000, 97)}
-    s = decontamination._searcher(sorted(patterns), dict.fromkeys(patterns, {"k"}))
+    s = decontamination._searcher(np.array(sorted(patterns), np.uint64), np.zeros(len(patterns), np.int32))
     first = np.array([0, 1700, 1700, 4000])
     ends, which = decontamination.search(s, first, text)
     want = {(i + 5, tuple(int(x) for x in text[i : i + 6])) for a, b in zip(first, first[1:], strict=False) for i in range(a, b - 5) if tuple(int(x) for x in text[i : i + 6]) in patterns}
     assert {(e, tuple(s.patterns[p].tolist())) for e, p in zip(ends.tolist(), which.tolist(), strict=True)} == want
+
+
+def test_a_whole_block_is_small_enough_to_broadcast():
+    rng = np.random.default_rng(2)
+    item = lambda size: "".join(chr(97 + c) for c in rng.integers(0, 26, size))
+    items, held = [], 0
+    while held < decontamination.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(item(5) for _ in range(300))))
+        held += len(items[-1][1])
+    assert decontamination.compiled(items).nbytes() < 60 << 20
+    short = [(str(i), " ".join(item(1) for _ in range(2000))) for i in range(decontamination.BLOCK_BYTES // 4000)]
+    assert decontamination.compiled(short).nbytes() < 120 << 20
