@@ -2,14 +2,16 @@
 
 Two rules are fixed: too few words, or too many words in eight-word windows that repeat within the text. Beyond them a text is
 compared with its language: the Jensen-Shannon distance between its histogram of character classes and the language's, and the same for
-the histogram of the language's common words. Short texts give noisy histograms, so each distance counts from a minimum of words on.
+the histogram of the language's common words, whose case and punctuation do not count. Short texts give noisy histograms, so each distance
+counts from a minimum of words on. The limit of the second is set by the reference: a text without any common word is at a distance that
+depends on their share in the language, and a text fails from WORDS_PART of that on.
 
-Texts are read once: a table of counts per document is written, the references are its sums per language, and the distances are taken
-from it. Sums combine before the shuffle, so one language may hold all rows. The references are broadcast up to MAX_REFERENCES languages,
+Texts are read once: a table of counts per document is written, the references are its sums per language over the documents that pass the
+fixed rules, and the distances are taken from it. Sums combine before the shuffle, so one language may hold all rows. The references are broadcast up to MAX_REFERENCES languages,
 and joined by shuffle beyond.
 
 Edge cases: a NULL or empty text has no words and fails; a language without reference of enough words, or NULL, leaves out the comparison;
-languages without a list of common words are compared by character classes alone; repeated rows each get a row; an empty table gives an
+languages without a list of common words, or in whose reference none stands, are compared by character classes alone; repeated rows each get a row; an empty table gives an
 empty result; only the key, text and language columns are read.
 """
 
@@ -26,7 +28,8 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEATED = 0.30
 CHARACTERS_FROM, WORDS_FROM = 50, 100  # words
-MAX_CHARACTERS, MAX_WORDS = 0.31, 0.35  # distances
+MAX_CHARACTERS = 0.31  # distance
+WORDS_PART = 0.8  # of the distance of a text without common words
 REFERENCE_FROM = 1000  # words in a language's reference
 MAX_REFERENCES = 10_000
 BLANK = r"[\x20\x09-\x0D]+"
@@ -35,11 +38,12 @@ CLASSES = ("[a-z]+", BLANK, r"[^\x00-\x7F]+", r"""[.,;:!?'"()-]+""", "[A-Z]+", "
 
 # Frequent function words by language.
 COMMON = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "nicht"),
+    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "as", "be", "by"),
+    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "su"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "par", "qui", "dans"),
 }
+CAPITALS, PUNCTUATION = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?\"'()"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,11 +120,11 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and common, a row per row of docs."""
     whole = F.coalesce(F.col(text), F.lit(""))
     language = F.col(lang).cast("string")
-    of_words = let(
-        F.filter(F.split(whole, BLANK), lambda w: w != ""),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), common_counts(w, language).alias("common")),
-    )
-    rows = docs.select(F.col(key), language.alias("__lang"), of_words.alias("w"), character_counts(whole).alias("c"), F.length(whole).cast("long").alias("n"), repeated_lines(whole).alias("n_dup_lines"))
+    split = lambda t: F.filter(F.split(t, BLANK), lambda w: w != "")
+    of_words = let(split(whole), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    bare = F.translate(whole, CAPITALS + PUNCTUATION, CAPITALS.lower())
+    common = let(split(bare), lambda w: common_counts(w, language))
+    rows = docs.select(F.col(key), language.alias("__lang"), of_words.alias("w"), common.alias("common"), character_counts(whole).alias("c"), F.length(whole).cast("long").alias("n"), repeated_lines(whole).alias("n_dup_lines"))
     return rows.select(
         key,
         "__lang",
@@ -130,7 +134,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         "n_dup_lines",
         "w.n_repeat_words",
         "c.classes",
-        "w.common",
+        "common",
     )
 
 
@@ -153,14 +157,15 @@ def distance(a: Column, b: Column) -> Column:
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The counts of each document with base_failed, both distances and kept."""
-    rows = written(measured(docs, key, text, lang), "quality")
-    known = written(references(rows), "quality-references")
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > round(100 * MAX_REPEATED) * F.col("n_words"))
+    rows = written(measured(docs, key, text, lang).withColumn("base_failed", base), "quality")
+    none = F.transform("ref_common", lambda v, i: F.when(i == F.size("ref_common") - 1, 1).otherwise(0).cast("long"))
+    known = written(references(rows.where("NOT base_failed")).withColumn("none_distance", distance(none, F.col("ref_common"))), "quality-references")
     few = known.limit(MAX_REFERENCES + 1).count() <= MAX_REFERENCES
     both = rows.join(F.broadcast(known) if few else known, "__lang", "left")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > round(100 * MAX_REPEATED) * F.col("n_words"))
-    with_distances = both.withColumn("base_failed", base).withColumn("character_distance", distance(F.col("classes"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
-    far = ((F.col("n_words") >= CHARACTERS_FROM) & (F.coalesce("character_distance", F.lit(0.0)) > MAX_CHARACTERS)) | ((F.col("n_words") >= WORDS_FROM) & (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORDS))
-    return with_distances.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "ref_classes", "ref_common")
+    with_distances = both.withColumn("character_distance", distance(F.col("classes"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("common"), F.col("ref_common")))
+    far = ((F.col("n_words") >= CHARACTERS_FROM) & (F.coalesce("character_distance", F.lit(0.0)) > MAX_CHARACTERS)) | ((F.col("n_words") >= WORDS_FROM) & F.coalesce((F.col("none_distance") > 0) & (F.col("word_distance") >= WORDS_PART * F.col("none_distance")), F.lit(False)))
+    return with_distances.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "ref_classes", "ref_common", "none_distance")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,12 @@ def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     langs = {r.doc_id: r.lang for r in docs.collect()}
     rows = check(spark, docs)
-    sums = {x: (np.sum([r.classes for r in rows if langs[r.doc_id] == x], axis=0), np.sum([r.common for r in rows if langs[r.doc_id] == x], axis=0)) for x in set(langs.values())}
+    sums = {x: [np.sum([r[c] for r in rows if langs[r.doc_id] == x and not r.base_failed], axis=0) for c in ("classes", "common")] for x in set(langs.values())}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows[::7]:
+        bare = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "" if c not in quality.PUNCTUATION))
+        listed = quality.COMMON[langs[r.doc_id]]
+        assert r.common == [*(bare.count(w) for w in listed), sum(w not in listed for w in bare)]
     for r in rows[::7]:
         classes, common = sums[langs[r.doc_id]]
         assert abs(r.character_distance - shannon(r.classes, classes)) < 1e-9 and abs(r.word_distance - shannon(r.common, common)) < 1e-9
@@ -74,3 +79,24 @@ def test_against_brute_force(spark):
     assert len(kept) > 100 and all(kept)
     shouted = docs.selectExpr("-doc_id - 1 AS doc_id", "upper(text) AS text", "lang").limit(200)
     assert sum(r.kept for r in quality.judged(docs.unionByName(shouted)).collect() if r.doc_id < 0) < 5
+
+
+def test_wrong_languages_and_word_salad_fail(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = [r for r in quality.judged(docs).where("kept AND n_words >= 100").collect()]
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    rng = random.Random(9)
+    wrong = [(-1 - r.doc_id, texts[r.doc_id][0], "de") for r in good if texts[r.doc_id][1] == "en"][:60]
+    salad = [(-100_000 - i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(150)), "en") for i in range(40)]
+    found = quality.judged(docs.unionByName(spark.createDataFrame([*wrong, *salad], docs.schema))).collect()
+    assert len(wrong) > 30 and not any(r.kept for r in found if r.doc_id < 0)
+    kept = {r.doc_id for r in found if r.kept}
+    assert sum(r.doc_id in kept for r in good) >= 0.99 * len(good)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = quality.query(spark, sf).collect()
+    assert len(rows) == len(texts) and all(numbers(r) == brute(texts[r.doc_id]) for r in rows)
+    assert not any(r.kept and r.base_failed for r in rows)
