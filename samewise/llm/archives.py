@@ -7,8 +7,9 @@ makes what WARC wants: a record id from URL, date and digest, a date in ISO form
 equal payloads the one with the largest id is the response, and the others revisit it without repeating the payload.
 
 Archives are files in the shared folder, written by Spark's text writer with the record separator as its line separator, so they lie
-wherever Spark can write, and read by its binary reader. A file holds as many records as make PER_FILE bytes of payload on average, which
-bounds what a task holds. Files are gzip streams. Payloads are not shuffled unless payloads held twice are too many to broadcast.
+wherever Spark can write, and read by its binary reader. A file is closed as soon as it has PER_FILE bytes or more, so it holds less than that
+and one record, which bounds what a task holds. Files are gzip streams, one each: the text writer has no members by record.
+Payloads are not shuffled unless payloads held twice are too many to broadcast.
 
 Which record is the largest of its payload is found by an aggregation over digests, which combines before the shuffle; only digests held
 twice are joined back, and adaptive execution splits that join where one payload is held by very many.
@@ -24,7 +25,7 @@ import base64
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,10 +36,10 @@ from samewise.sources.shared import fresh_path, remove, written
 
 PER_FILE = 16 << 20
 LEAST_REVISIT = 0  # bytes of a payload from which on it is revisited
-PARSED = "url string, date string, page_id long, payload binary, payload_digest string"
-_PARSED = pa.schema([("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), ("payload_digest", pa.string())])
-ANSWERED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_date string, record_id string, target_uri string"
-_ANSWERED = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("warc_date", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string())])
+PARSED = "url string, date string, page_id long, payload binary, size long, payload_digest string"
+_PARSED = pa.schema([("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), ("size", pa.int64()), ("payload_digest", pa.string())])
+ANSWERED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_date string, record_id string, target_uri string, refers_to_record string"
+_ANSWERED = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("warc_date", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to_record", pa.string())])
 
 # The version blocks of the format, each with the names of its header fields.
 ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -114,14 +115,30 @@ def arc_text(page: Column, url: Column, html: Column, version: Column, date: Col
     return F.concat(where, F.lit(" 0.0.0.0 "), date, F.lit(" text/html"), more, F.lit(" "), size, F.lit("\n"), head, payload)
 
 
-def per_file(n: int, payload_bytes: int) -> int:
-    """Records of a file that holds about PER_FILE bytes."""
-    return max(1, int(PER_FILE * n / max(1, payload_bytes)))
+def packed(texts: Iterator[str], separator: str, block: Callable[[str], str], limit: int) -> Iterator[str]:
+    """The texts of whole files: a block that opens the file, made from its first record, and records until they have ``limit`` bytes."""
+    parts: list[str] = []
+    held = 0
+    for text in texts:
+        parts.append(text if parts else block(text) + text)
+        held += len(text.encode())
+        if held >= limit:
+            yield separator.join(parts)
+            parts, held = [], 0
+    if parts:
+        yield separator.join(parts)
 
 
-def write_text(records: DataFrame, column: Column, path: str, separator: str, each: int) -> None:
-    """Write one text column to gzip files of ``each`` records, in the partitions as they are; the separator follows each value."""
-    records.select(column.alias("record")).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+def write_text(records: DataFrame, column: Column, path: str, separator: str, block: Callable[[str], str]) -> None:
+    """Write one text column to gzip files of bounded size, in the partitions as they are; the separator follows each value."""
+    limit = PER_FILE
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text in packed((x.as_py() for batch in batches for x in batch.column(0)), separator, block, limit):
+            yield pa.RecordBatch.from_arrays([pa.array([text])], ["file"])
+
+    whole = records.select(column.alias("record")).mapInArrow(files, "file string")
+    whole.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -130,40 +147,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write pages as ARC files, those with even ids under path/v2 in version 2 and the others under path/v1 in version 1.
-
-    The first record of each file, so every so many of a partition, comes after the version block.
-    """
-    n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(html).cast("long")), F.lit(0))).first()
-    each = per_file(n, total)
+    """Write pages as ARC files, those with even ids under path/v2 in version 2 and the others under path/v1 in version 1. A version block
+    opens each file."""
     number = F.coalesce(F.col(page_id).cast("long"), F.lit(0))
     date = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.pmod(number, F.lit(600_000_000))), "yyyyMMddHHmmss")
     even = F.pmod(number, F.lit(2)) == 0
-    first = F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.lit(each)) == 0
     for version, rows in ((1, pages.where(~even)), (2, pages.where(even))):
-        block = F.when(first, version_block(version).decode()).otherwise("")
-        text = F.concat(block, arc_text(F.col(page_id), F.col(url), F.col(html), F.lit(version), date))
-        write_text(rows, text, f"{path}/v{version}", "\n", each)
+        opening = version_block(version).decode()
+        write_text(rows, arc_text(F.col(page_id), F.col(url), F.col(html), F.lit(version), date), f"{path}/v{version}", "\n", lambda _, opening=opening: opening)
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the ARC files under path/v1 and path/v2: url, date, page_id, payload, payload_digest."""
+def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of the ARC files under path/v1 and path/v2: url, date, page_id, payload (or NULL), size, payload_digest."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                yield from _parsed(gzip.decompress(content.as_py()))
+                yield from _parsed(gzip.decompress(content.as_py()), with_payload)
 
     return read_files(spark, f"{path}/v*").mapInArrow(parse, PARSED)
 
 
-def _parsed(data: bytes, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parsed(data: bytes, with_payload: bool, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for record in arc_records(data):
         head, _, payload = record.body.partition(_HEAD_END)
         page = _head_values(head).get("x-page-id")
         url = record.fields["URL"]
-        rows.append((None if url == "-" else url, record.fields["Archive-date"], None if page is None else int(page), payload, digest32(payload)))
+        rows.append((None if url == "-" else url, record.fields["Archive-date"], None if page is None else int(page), payload if with_payload else None, len(payload), digest32(payload)))
         held += len(payload)
         if held > most:
             yield _batch(rows, _PARSED)
@@ -177,21 +188,38 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def with_type(records: DataFrame, digests: DataFrame) -> DataFrame:
-    """Add refers_to to records: the largest page of their payload, NULL for that page itself and for payloads held once.
+    """Add refers_to, refers_url and refers_date to records: those of the largest page of their payload, NULL for that page itself and for
+    payloads held once.
 
-    ``digests`` has page_id, payload_digest and size of the same records.
+    ``digests`` has page_id, url, date, payload_digest and size of the same records.
     """
-    big = digests.where(F.col("size") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
-    shared = written(big.where("n > 1 AND largest IS NOT NULL").select("payload_digest", "largest"), "archive-shared")
+    top = F.max(F.struct("page_id", "url", "date")).alias("top")
+    big = digests.where(F.col("size") >= LEAST_REVISIT).groupBy("payload_digest").agg(top, F.count(F.lit(1)).alias("n"))
+    shared = written(big.where("n > 1 AND top.page_id IS NOT NULL").select("payload_digest", "top"), "archive-shared")
     both = records.join(shared, "payload_digest", "left")
-    return both.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))).drop("largest")
+    again = ~F.col("page_id").eqNullSafe(F.col("top.page_id"))
+    return both.select(*records.columns, *[F.when(again, F.col(f"top.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("url", "refers_url"), ("date", "refers_date"))])
+
+
+def _iso(date: str) -> Column:
+    return F.date_format(F.to_timestamp(date, "yyyyMMddHHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _urn(url: str, date: str, page: str) -> Column:
+    """A UUID from URL, date, page and digest."""
+    marks = F.md5(F.concat_ws(" ", F.coalesce(url, F.lit("-")), date, F.coalesce(F.col(page).cast("string"), F.lit("-")), "payload_digest").cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(marks, a, n)]], F.lit(">"))
+
+
+def warc_info(first: str) -> str:
+    """The record that opens a file, its id made from the file's first record, and its end."""
+    body = "software: samewise\r\nformat: WARC File Format 1.1\r\n"
+    mark = uuid.UUID(hashlib.md5(b"warcinfo " + first.encode()).hexdigest())
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{mark}>\r\nWARC-Date: 1996-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
 
 
 def warc_text() -> Column:
     """A WARC record as text. The id is a UUID from URL, date, page and digest, so a repeated conversion gives the same."""
-    iso = F.date_format(F.to_timestamp("date", "yyyyMMddHHmmss"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    marks = F.md5(F.concat_ws(" ", F.coalesce("url", F.lit("-")), "date", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "payload_digest").cast("binary"))
-    urn = F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(marks, a, n)]], F.lit(">"))
     again = F.col("refers_to").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     page = line("X-Page-Id", F.col("page_id").cast("string"))
@@ -200,11 +228,14 @@ def warc_text() -> Column:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn),
-        line("WARC-Date", iso),
+        line("WARC-Record-ID", _urn("url", "date", "page_id")),
+        line("WARC-Date", _iso("date")),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Profile", F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        line("WARC-Refers-To", F.when(again, _urn("refers_url", "refers_date", "refers_to"))),
+        line("WARC-Refers-To-Target-URI", F.when(again, F.col("refers_url"))),
+        line("WARC-Refers-To-Date", F.when(again, _iso("refers_date"))),
         line("X-Payload-Length", F.octet_length("payload").cast("string")),
         line("X-Refers-To-Page", F.col("refers_to").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -238,13 +269,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for head, block in warc_records(gzip.decompress(content.as_py())):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(_HEAD_END)
                     digest, size, kind = head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"]), head["warc-type"]
                     if kind == "response" and (len(payload) != size or digest32(payload) != digest):
                         raise ValueError(f"{head['warc-record-id']}: the payload is not the one of its digest")
                     page, refers = _head_values(http).get("x-page-id"), head.get("x-refers-to-page")
                     uuid.UUID(head["warc-record-id"][1:-1])
-                    rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers), head["warc-date"], head["warc-record-id"], head.get("warc-target-uri")))
+                    rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers), head["warc-date"], head["warc-record-id"], head.get("warc-target-uri"), head.get("warc-refers-to")))
                 yield _batch(rows, _ANSWERED)
 
     return read_files(spark, path).mapInArrow(parse, ANSWERED)
@@ -253,9 +286,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def convert(spark: SparkSession, arc: str, warc: str) -> None:
     """Write the records of ARC files as WARC files, with revisits."""
     records = read_arc(spark, arc)
-    digests = written(records.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("size")), "archive-digests")
-    n, total = digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    write_text(with_type(records, digests), warc_text(), warc, "\r\n\r\n", per_file(n, total))
+    digests = written(read_arc(spark, arc, with_payload=False).drop("payload"), "archive-digests")
+    write_text(with_type(records, digests), warc_text(), warc, "\r\n\r\n", warc_info)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

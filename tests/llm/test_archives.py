@@ -49,6 +49,8 @@ def test_tables(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
     rows = through(spark, frame)
     assert answers(rows) == brute([tuple(r) for r in frame.collect()])
+    by_page = {r.page_id: r.record_id for r in rows}
+    assert all(r.refers_to_record == by_page.get(r.refers_to) for r in rows)
     assert len({r.record_id for r in rows}) == len(rows) and all(len(r.warc_date) == 20 for r in rows)
 
 
@@ -62,3 +64,30 @@ def test_both_versions_and_errors():
     for bad in (one[:-3], b"http://a 1 2 3 4\n", archives.version_block(1) + b"too few\n"):
         with pytest.raises(ValueError, match="cut short|header line"):
             list(archives.arc_records(bad))
+
+
+def test_files_are_bounded_by_their_bytes(spark, monkeypatch):
+    """Many small pages and then many large ones in one partition."""
+    import gzip
+
+    monkeypatch.setattr(archives, "PER_FILE", 1 << 20)
+    pages = [(i, "http://a/", "x" * 10) for i in range(0, 4000, 2)] + [(i, "http://a/", f"{i} " + "y" * 200_000) for i in range(4000, 4120, 2)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    arc = fresh_path(spark, "arc")
+    archives.write_arc(frame, arc)
+    sizes = [len(gzip.decompress(r.content)) for r in archives.read_files(spark, f"{arc}/v*").collect()]
+    assert len(sizes) > 10 and max(sizes) < (1 << 20) + 210_000 and sum(sizes) > 60 * 200_000
+
+
+def test_records_of_a_file(spark):
+    warc = fresh_path(spark, "warc")
+    arc = fresh_path(spark, "arc")
+    archives.write_arc(spark.createDataFrame([(2, "http://a/", "same"), (4, "http://b/", "same"), (5, None, "other")], "page_id long, url string, html string").coalesce(1), arc)
+    archives.convert(spark, arc, warc)
+    import gzip
+
+    heads = [head for r in archives.read_files(spark, warc).collect() for head, _ in archives.warc_records(gzip.decompress(r.content))]
+    kinds = [h["warc-type"] for h in heads]
+    assert kinds.count("warcinfo") >= 1 and kinds.count("revisit") == 1 and kinds.count("response") == 2
+    revisit, response = (next(h for h in heads if h["warc-type"] == k and h.get("warc-target-uri") in ("http://a/", "http://b/")) for k in ("revisit", "response"))
+    assert revisit["warc-refers-to"] == response["warc-record-id"] and revisit["warc-refers-to-target-uri"] == "http://b/" and revisit["warc-refers-to-date"] == response["warc-date"]
