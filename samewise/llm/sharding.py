@@ -43,18 +43,24 @@ def numbered(df: DataFrame, shard: str = "shard", slot: str = "slot", blocks: in
     """One row per row of df, whose columns identify a record, plus a gapless number from 0 within its shard.
 
     Equal rows are counted first and expanded last. Rows of a shard are dealt to blocks by a hash and numbered there; a block
-    starts where the blocks before it end. Only the blocks' counts, at most shards * blocks rows, are broadcast.
+    starts where the blocks before it end. Only the blocks' counts, at most shards * blocks rows, are broadcast. The number replaces a
+    column of its name.
     """
-    names = df.columns
-    digest = F.md5(F.concat_ws(":", *[F.col(n).cast("string") for n in names]).cast("binary"))
+    df = df.drop(slot)
+    names = [c for c in df.columns if c != shard]
+    own = F.struct(*[F.col(f"`{c}`") for c in names])
+    df = df.select(F.col(f"`{shard}`").alias("__shard"), own.alias("__own"))
+    listed = [F.col("__own").getField(c) for c in names] + [F.col("__shard")]
+    digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in listed]).cast("binary"))
     block = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")
-    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", block)
-    before = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.groupBy(shard, "__block").agg(F.sum("__n").alias("__rows")).withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
-    within = Window.partitionBy(shard, "__block").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
+    counted = df.groupBy("__shard", "__own").agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", block)
+    before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.groupBy("__shard", "__block").agg(F.sum("__n").alias("__rows")).withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+    within = Window.partitionBy("__shard", "__block").orderBy("__own").rowsBetween(Window.unboundedPreceding, 0)
     ended = counted.withColumn("__end", F.sum("__n").over(within))
     first = F.col("__start") + F.col("__end") - F.col("__n")
-    return ended.join(F.broadcast(starts), [shard, "__block"]).select(*names, F.explode(F.sequence(first, F.col("__start") + F.col("__end") - 1)).alias(slot))
+    placed = ended.join(F.broadcast(starts), ["__shard", "__block"])
+    return placed.select("__own.*", F.col("__shard").alias(shard), F.explode(F.sequence(first, F.col("__start") + F.col("__end") - 1)).alias(slot))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +73,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-
-
 _DRAWS = "list_transform(range({0}), lambda i: ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT)"
 SQL = f"""
 WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (

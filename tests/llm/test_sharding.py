@@ -49,3 +49,10 @@ def test_weights_and_edges(spark):
 def test_equal_rows_are_counted_before_they_are_dealt(spark):
     df = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("shard"))
     assert sorted(r.slot for r in sharding.numbered(df).collect()) == list(range(5000))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i % 2, 9, 1, "p") for i in range(20)], "doc_id long, shard int, slot int, __n int, `a.b` string")
+    found = sharding.numbered(df)
+    assert sorted(found.columns) == sorted(df.columns)
+    assert sorted((r.shard, r.slot) for r in found.collect()) == [(s, i) for s in range(2) for i in range(10)]
