@@ -2,7 +2,7 @@
 
 The base spans are those of four patterns with their checks. Beyond them, looser patterns propose candidates. Labelers vote on each:
 a strict shape, a gazetteer, the words before it, and its borders. The votes of all candidates are counted by their pattern, expectation
-maximisation over these counts estimates how reliable each labeler is, and the posteriors are the soft labels on which a logistic
+maximisation over these counts estimates how reliable each labeler is for each kind, and the posteriors are the soft labels on which a logistic
 classifier over the candidates' features is trained. Candidates that it accepts become spans unless they touch a base span.
 
 Texts are read once: the table written for training holds spans and candidates, not texts, and the classifier's verdicts are applied
@@ -44,7 +44,8 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
-# Words that speak for each kind, words that speak against any, ends of mail domains, first digits of card issuers.
+# Words that speak for each kind, words that speak against any, ends of mail domains, telephone areas,
+# prefixes of addresses in use, first digits of card issuers.
 CUES = {
     "email": ("mail", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "client"),
@@ -53,6 +54,8 @@ CUES = {
 }
 AGAINST = ("isbn", "version", "order", "invoice", "figure", "page", "serial", "total", "part")
 MAIL_ENDS = ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "uk", "eu")
+AREAS = ("800", "833", "844", "855", "866", "877", "888", "202", "206", "212", "213", "214", "215", "281", "303", "305", "310", "312", "404", "408", "415", "416", "469", "503", "512", "514", "602", "604", "613", "617", "646", "647", "650", "702", "713", "718", "720", "773", "786", "818", "832", "858", "903", "916", "917", "949", "972")
+PREFIXES = ("2001", "2003", "2400", "2404", "2406", "2600", "2601", "2606", "2607", "2620", "2800", "2804", "2a00", "2a01", "2a02", "2a03", "2c0f", "fc", "fd", "fe80")
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -127,11 +130,11 @@ def votes(text: str, start: int, end: int, kind: str) -> str:
         shape, last = not found.startswith((".", "-")), _WORD.findall(found)[-1].lower()
         listed = last in MAIL_ENDS
     elif kind == "ip":
-        shape, listed = found.count(":") == 7, any(c in "abcdefABCDEF" for c in found)
+        shape, listed = found.count(":") == 7, found.lower().startswith(PREFIXES)
     elif kind == "card":
         shape, listed = luhn(digits), digits.startswith(ISSUERS)
     else:
-        shape, listed = digits[0] not in "01" and digits[3] not in "01", digits[3:6] == "555" or found[0] == "("
+        shape, listed = digits[0] not in "01" and digits[3] not in "01", digits.startswith(AREAS) or digits[3:6] == "555"
     before = {w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])}
     context = "1" if before & set(CUES[kind]) else "0" if before & set(AGAINST) else "-"
     near = text[max(0, start - 1) : start] + text[end : end + 1]
@@ -164,13 +167,17 @@ def marked(text: Column) -> Column:
 
 
 def posteriors(counted: Iterable[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
-    """How likely each (kind, votes) is personal data, by expectation maximisation over the counts of the patterns."""
-    rows = sorted(counted)
-    if not rows:
-        return {}
-    n = np.array([c for _, _, c in rows], float)
-    vote = np.array([[{"1": 1, "0": 0}.get(c, -1) for c in v] for _, v, _ in rows])
-    kinds = [k for k, _, _ in rows]
+    """How likely each (kind, votes) is personal data, by expectation maximisation over the counts of the patterns of each kind."""
+    by_kind: dict[str, list[tuple[str, int]]] = {}
+    for kind, vote, count in sorted(counted):
+        by_kind.setdefault(kind, []).append((vote, count))
+    return {(kind, vote): p for kind, rows in by_kind.items() for (vote, _), p in zip(rows, _maximised(rows, rounds), strict=True)}
+
+
+def _maximised(rows: list[tuple[str, int]], rounds: int) -> list[float]:
+    """One kind's posteriors, by pattern of votes: each labeler says yes to personal data at one rate and to other candidates at another."""
+    n = np.array([c for _, c in rows], float)
+    vote = np.array([[{"1": 1, "0": 0}.get(c, -1) for c in v] for v, _ in rows])
     said, yes = vote >= 0, vote == 1
     post = (1 + yes.sum(axis=1)) / (2 + said.sum(axis=1))
     for _ in range(rounds):
@@ -178,11 +185,10 @@ def posteriors(counted: Iterable[tuple[str, str, int]], rounds: int = 50) -> dic
         for p, guess in ((post, 0.8), (1 - post, 0.2)):  # a guess worth four votes keeps rare labelers sane
             weight = (n * p)[:, None]
             rate.append(((weight * yes).sum(axis=0) + 4 * guess) / ((weight * said).sum(axis=0) + 4))
-        prior = {k: (sum(n[i] * post[i] for i in range(len(n)) if kinds[i] == k) + 1) / (sum(n[i] for i in range(len(n)) if kinds[i] == k) + 2) for k in set(kinds)}
-        odds = np.array([np.log(prior[k] / (1 - prior[k])) for k in kinds])
-        odds += np.where(said, np.where(yes, np.log(rate[0] / rate[1]), np.log((1 - rate[0]) / (1 - rate[1]))), 0).sum(axis=1)
+        prior = ((n * post).sum() + 1) / (n.sum() + 2)
+        odds = np.log(prior / (1 - prior)) + np.where(said, np.where(yes, np.log(rate[0] / rate[1]), np.log((1 - rate[0]) / (1 - rate[1]))), 0).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return {(k, v): float(p) for (k, v, _), p in zip(rows, post, strict=True)}
+    return post.tolist()
 
 
 def classifier(counted: Iterable[tuple[str, str, str, int]], rounds: int = 25) -> dict[str, float]:

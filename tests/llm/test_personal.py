@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -52,6 +53,26 @@ def test_reliable_labelers_win():
     assert post["phone", "1111"] > 0.95 and post["phone", "0-00"] < 0.05 and personal.posteriors([]) == {}
 
 
+def test_maximisation_finds_the_rates_of_each_kind():
+    """Votes drawn from known rates, which differ by kind, against the share of personal data in each pattern."""
+    import random
+
+    rng = random.Random(11)
+    rates = {"phone": ((0.9, 0.8, 0.85, 0.9), (0.1, 0.2, 0.15, 0.1)), "card": ((0.95, 0.9, 0.7, 0.9), (0.3, 0.05, 0.1, 0.2))}
+    drawn, real = Counter(), Counter()
+    for kind, sides in rates.items():
+        for _ in range(20_000):
+            true = rng.random() < 0.4
+            vote = "".join("-" if rng.random() < 0.2 else "1" if rng.random() < p else "0" for p in sides[0 if true else 1])
+            drawn[kind, vote] += 1
+            real[kind, vote] += true
+    post = personal.posteriors([(k, v, n) for (k, v), n in drawn.items()])
+    assert max(abs(post[x] - real[x] / n) for x, n in drawn.items() if n >= 400) < 0.1
+    for kind in rates:
+        mean = sum(post[x] * n for x, n in drawn.items() if x[0] == kind) / 20_000
+        assert abs(mean - 0.4) < 0.02
+
+
 def test_added_spans(spark):
     yes = [f"please call (21{i % 10}) 555-01{i:02d} today" for i in range(60)]
     no = [f"order part 112-045-10{i:02d}/x" for i in range(60)]
