@@ -1,6 +1,6 @@
 """License notices in documents, by a generalised suffix automaton over the words of license templates.
 
-All templates go into one automaton; every state knows one end place per template. A text is streamed through it, which gives at
+All templates go into one automaton; every state knows its end places in each template. A text is streamed through it, which gives at
 each word the longest run of words that ends there and stands in some template (matching statistics). Runs that cannot grow further
 and have at least ``min_run`` words become matches; matches of one template, in order and near to each other, are chained, and a
 chain that covers enough of the template gives its label. Words outside the templates' vocabulary end every run, so only stretches of
@@ -14,6 +14,7 @@ the base; an empty table gives an empty result. The result column replaces an in
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -32,32 +33,47 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Notices as their licenses give them.
+# Notices and short licenses as their authors give them.
 TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "Released under the MIT License",
         "Licensed under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "This work is licensed under the GNU General Public License, version 3",
         "Licensed under the GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "agpl": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
 
 MIN_RUN = 4  # words of a match
@@ -82,27 +98,28 @@ FOUND_SQL = (
 
 
 class Match(NamedTuple):
-    """Words start:end of the text stand in the template up to word ``place`` of it, exclusive."""
+    """Words start:end of the text stand in the template up to word ``place`` of it, exclusive, for each of the places in order."""
 
     template: int
     start: int
     end: int
-    place: int
+    places: tuple[int, ...]
 
 
 class Automaton(SuffixAutomaton):
-    """Each state knows one end place in each template that has its runs."""
+    """Each state knows the end places of its runs in each template, in order."""
 
     def __init__(self, templates: list[list[int]]) -> None:
         super().__init__()
         ends = [self.add(words) for words in templates]
-        self.places: list[dict[int, int]] = [{} for _ in self.next]
+        found: list[dict[int, set[int]]] = [{} for _ in self.next]
         for t, states in enumerate(ends):
             for i, s in enumerate(states):
-                self.places[s].setdefault(t, i + 1)
+                found[s].setdefault(t, set()).add(i + 1)
         for s in self.longest_first():
-            for t, place in self.places[s].items():
-                self.places[self.link[s]].setdefault(t, place)
+            for t, its in found[s].items():
+                found[self.link[s]].setdefault(t, set()).update(its)
+        self.places = [{t: tuple(sorted(its)) for t, its in x.items()} for x in found]
 
     def statistics(self, words: list[int]) -> list[tuple[int, int]]:
         """At each word, the longest run ending there that stands in a template, and its state."""
@@ -123,7 +140,7 @@ class Automaton(SuffixAutomaton):
         found, stats = [], self.statistics(words)
         for i, (size, state) in enumerate(stats):
             if size >= min_run and (i + 1 == len(stats) or stats[i + 1][0] <= size):
-                found += [Match(t, at + i + 1 - size, at + i + 1, place) for t, place in self.places[state].items()]
+                found += [Match(t, at + i + 1 - size, at + i + 1, places) for t, places in self.places[state].items()]
         return found
 
 
@@ -165,7 +182,8 @@ def _hash(word: bytes) -> int:
 
 
 def chained(matches: list[Match], sizes: list[int], max_gap: int) -> list[tuple[int, int, int, float]]:
-    """(template, start, end, covered part) of each template's chains: matches in the order of text and template, near to each other."""
+    """(template, start, end, covered part) of each template's chains: matches in the order of text and template, near to each other. A
+    match goes on from the chain at the first of its places behind the chain's."""
     by_template: dict[int, list[Match]] = {}
     for m in matches:
         by_template.setdefault(m.template, []).append(m)
@@ -174,13 +192,14 @@ def chained(matches: list[Match], sizes: list[int], max_gap: int) -> list[tuple[
         start = end = place = covered = 0
         for m in sorted(found, key=lambda m: (m.start, m.end)):
             size = m.end - m.start
-            if covered and m.start - end <= max_gap and m.place > place:
-                covered += min(size, m.place - place, max(0, m.end - end))
+            behind = bisect_right(m.places, place)
+            if covered and m.start - end <= max_gap and behind < len(m.places):
+                covered += min(size, m.places[behind] - place, max(0, m.end - end))
+                end, place = max(m.end, end), m.places[behind]
             else:
                 if covered:
                     out.append((t, start, end, covered / sizes[t]))
-                start, covered = m.start, size
-            end, place = max(m.end, end if covered > size else 0), m.place
+                start, end, place, covered = m.start, m.end, m.places[0], size
         if covered:
             out.append((t, start, end, covered / sizes[t]))
     return out

@@ -67,5 +67,68 @@ def test_matching_statistics(seed):
     automaton = licenses.Automaton(templates)
     for i, (size, state) in enumerate(automaton.statistics(words)):
         assert size == max((n for n in range(i + 2) if tuple(words[i + 1 - n : i + 1]) in runs or n == 0))
-        for t, place in automaton.places[state].items():
-            assert templates[t][place - size : place] == words[i + 1 - size : i + 1] or size == 0
+        for t, template in enumerate(templates):
+            run = words[i + 1 - size : i + 1]
+            want = tuple(e for e in range(size, len(template) + 1) if template[e - size : e] == run) if size else None
+            assert want is None or automaton.places[state].get(t, ()) == want
+
+
+def brute_chains(templates, text, min_run, max_gap):
+    """Chains from matches that are found by comparing every stretch of the text with every stretch of the templates."""
+    out = []
+    longest = {}
+    for j in range(len(text)):
+        for n in range(j + 1, 0, -1):
+            if any(t[i : i + n] == text[j + 1 - n : j + 1] for t in templates for i in range(len(t) - n + 1)):
+                longest[j] = n
+                break
+    for k, t in enumerate(templates):
+        chains, chain = [], None
+        for j, n in sorted(longest.items(), key=lambda x: (x[0] + 1 - x[1], x[0])):
+            if n < min_run or longest.get(j + 1, 0) > n:
+                continue
+            run = text[j + 1 - n : j + 1]
+            ends = [i + n for i in range(len(t) - n + 1) if t[i : i + n] == run]
+            if not ends:
+                continue
+            after = [e for e in ends if chain and e > chain["place"]]
+            if chain and j + 1 - n - chain["end"] <= max_gap and after:
+                chain["covered"] += min(n, after[0] - chain["place"], max(0, j + 1 - chain["end"]))
+                chain["end"], chain["place"] = max(chain["end"], j + 1), after[0]
+            else:
+                chain = {"start": j + 1 - n, "end": j + 1, "place": ends[0], "covered": n}
+                chains.append(chain)
+        out += [(k, c["start"], c["end"], round(c["covered"] / len(t), 9)) for c in chains]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chains_against_brute_force(seed):
+    import random
+
+    rng = random.Random(seed)
+    templates = [[rng.randrange(1, 5) for _ in range(rng.randrange(3, 14))] for _ in range(3)]
+    text = [rng.randrange(1, 6) for _ in range(60)]
+    for _ in range(3):
+        t, at = rng.choice(templates), rng.randrange(40)
+        text[at : at + len(t)] = t
+    found = licenses.Automaton(templates).matches(text, 0, 2)
+    got = licenses.chained(found, [len(t) for t in templates], 3)
+    assert sorted((t, a, b, round(c, 9)) for t, a, b, c in got) == brute_chains(templates, text, 2, 3)
+
+
+def test_a_run_that_stands_twice_does_not_break_a_chain():
+    template = [1, 2, 3, 4, 9, 8, 1, 2, 3, 4, 7, 6]
+    found = licenses.Automaton([template]).matches([1, 2, 3, 4, 5, 9, 8, 1, 2, 3, 4, 7, 6], 0, 4)
+    assert licenses.chained(found, [12], 12) == [(0, 0, 13, 1.0)]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = licenses.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, found = places(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.base_labels) == (n, len(found), ",".join(sorted({label for _, label in found})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
