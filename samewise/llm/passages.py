@@ -271,14 +271,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     if words < GRAM:
         raise ValueError(f"words must be {GRAM} or more")
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(key).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(whole, F.lit(1)).alias("k2"))
+    keyed = docs.select(F.col(key).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"))  # two seeds, so 128 bits
     marks = written(keyed.withColumn("m", marked(F.col("text"), words)).select("id", "k1", "k2", "m.n_words", "m.sha", "m.anchors"), "passages-marks")
 
-    anchors = marks.select("k1", F.explode("anchors").alias("a")).select("k1", "a.hash", "a.places")
+    anchors = marks.select("k1", "k2", F.explode("anchors").alias("a")).select("k1", "k2", "a.hash", "a.places")
     often = anchors.groupBy("hash").agg(F.sum("places").alias("places")).where("places > 1").select("hash", (F.col("places") > hot).alias("hot"))
-    repeated = anchors.select("k1", "hash").join(often, "hash").groupBy("k1").agg(F.map_from_entries(F.collect_set(F.struct("hash", "hot"))).alias("repeated"))
+    repeated = anchors.select("k1", "k2", "hash").join(often, "hash").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("hash", "hot"))).alias("repeated"))
     alike = marks.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    chosen = alike.join(repeated, "k1")
+    chosen = alike.join(repeated, ["k1", "k2"])
     on = [keyed.k1 == chosen.k1, keyed.k2 == chosen.k2, keyed.id.eqNullSafe(chosen.id)]
     texts = written(keyed.join(chosen, on).select(keyed.k1, keyed.k2, "text", "copies", "repeated"), "passages-texts")
 

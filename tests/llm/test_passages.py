@@ -63,3 +63,26 @@ def test_cases(spark, seed, hot):
 
 def test_against_brute_force(spark):
     compare(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+def test_the_two_hashes_of_a_text_are_independent(spark):
+    """The second is no function of the first: rows with equal first hashes are told apart by it."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(1000).select(F.col("id").cast("string").alias("t"))
+    rows = texts.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), F.xxhash64(F.xxhash64("t"), F.lit(1)).alias("chained")).collect()
+    assert len({r.k2 for r in rows}) == 1000 and all(r.k1 != r.k2 != r.chained for r in rows)
+
+
+def test_texts_of_one_first_hash(spark, monkeypatch):
+    """Where all texts have the same first hash, the second keeps them apart."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(passages.F, "xxhash64", lambda *c: F.lit(0).cast("long") if len(c) == 1 else real(*c))
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) + " " + (common if i % 3 else "") for i in range(20)] + ["short", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.find(docs).collect()}
+    assert got == dict(enumerate(brute(texts)))
