@@ -1,8 +1,9 @@
 """Random walks over the record graph, step by step for all walks at once.
 
 A step is two equi-joins: one on the node, for how many neighbours it has, and one on node and drawn number, for the neighbour itself. The
-second spreads a hub's walks over its neighbours; nothing holds a hub's whole list. Draws are a counter-based integer generator of walk,
-step and seed, so a walk is the same in every run. Every few steps the walks are written to the shared folder.
+second spreads a hub's walks over its neighbours; nothing holds a hub's whole list. Draws are taken from the MD5 of walk, step and seed, so
+they are independent from step to step, and a walk is the same in every run. Over a weighted index (graph.weighted) a step draws a point
+on the node's line of weights, and the cell of the line that holds it. Every few steps the walks are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.operators.graph import both_ways, numbered
+from samewise.operators.graph import both_ways, cell_of, degrees, indexed, numbered, smooth_weight, weighted
 from samewise.sources.shared import written
 
-A, B, M = 1103515245, 12345, 2147483647
 EVERY = 5  # steps between writes
 
 
-def draw(walk: Column, step: int, seed: int, n: Column) -> Column:
-    return F.pmod(walk * A + F.lit(step * B + seed), F.lit(M)) % n
+def draw(walk: Column, step: int | Column, seed: int, n: Column) -> Column:
+    """A number from 0 to n - 1: the first 52 bits of the MD5 of walk, step and seed, modulo n."""
+    step = F.lit(step) if isinstance(step, int) else step
+    mark = F.md5(F.concat_ws(":", walk.cast("string"), step.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(mark, 1, 13), 16, 10).cast("long") % n
 
 
 def rooted(nodes: DataFrame, per_root: int) -> DataFrame:
@@ -31,12 +34,30 @@ def rooted(nodes: DataFrame, per_root: int) -> DataFrame:
 def _stepped(walks: DataFrame, index: DataFrame, sizes: DataFrame, step: int, seed: int) -> DataFrame:
     """Add next, NULL where the node has no neighbour."""
     counted = walks.join(sizes, walks["node"] == sizes["src"], "left").drop("src")
+    if "total" in sizes.columns:
+        drawn = counted.withColumn("point", F.when(F.col("total") > 0, draw(F.col("walk_id"), step, seed, F.col("total"))))
+        drawn = drawn.withColumn("cell", cell_of(F.col("point"), F.col("n"), F.col("total"))).drop("n", "total")
+        names = index.select(F.col("src").alias("of"), F.col("cell").alias("of_cell"), "lo", "hi", F.col("dst").alias("next"))
+        on = (drawn["node"] == names["of"]) & (drawn["cell"] == names["of_cell"]) & (drawn["point"] >= names["lo"]) & (drawn["point"] < names["hi"])
+        return drawn.join(names, on, "left").drop("of", "of_cell", "lo", "hi", "point", "cell")
     drawn = counted.withColumn("at", F.when(F.col("n") > 0, draw(F.col("walk_id"), step, seed, F.col("n"))))
     names = index.select(F.col("src").alias("node"), "at", F.col("dst").alias("next"))
     return drawn.join(names, ["node", "at"], "left").drop("n", "at")
 
 
+def index_of(nodes: DataFrame, edges: DataFrame, smoothing: str = "no") -> DataFrame:
+    """The index that walks step over: neighbours alike, or weighted by a smoothing method (log, IDF or ICF) of the neighbour."""
+    if smoothing == "no":
+        return indexed(edges)
+    totals = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("frequency_in_graph").alias("words"))
+    known = nodes.select("name", "frequency_in_graph").join(degrees(edges), "name", "left").fillna(0, ["degree"]).crossJoin(F.broadcast(totals))  # one row
+    weight = smooth_weight(smoothing, *[F.col(c) for c in ("n_nodes", "words", "frequency_in_graph", "degree")])
+    return weighted(both_ways(edges), known.select("name", weight.alias("weight")))
+
+
 def _sizes(index: DataFrame) -> DataFrame:
+    if "total" in index.columns:
+        return index.groupBy("src").agg(F.max("n").alias("n"), F.max("total").alias("total"))
     return index.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,7 +110,7 @@ def metapath(starts: DataFrame, edge: DataFrame, nodes: DataFrame, path: Sequenc
 def row_walk(adjacent: DataFrame, length: int, seed: int = 7) -> DataFrame:
     """(root, path): the root in turn with neighbours drawn for it. adjacent has name, number and neighbours."""
     n = F.size("neighbours")
-    picks = F.transform(F.sequence(F.lit(1), F.lit(length // 2)), lambda i: F.get(F.col("neighbours"), (F.pmod(F.col("number") * A + i * B + seed, F.lit(M)) % n).cast("int")))
+    picks = F.transform(F.sequence(F.lit(1), F.lit(length // 2)), lambda i: F.get(F.col("neighbours"), draw(F.col("number"), i, seed, n).cast("int")))
     return adjacent.where(n > 0).select(F.col("name").alias("root"), F.slice(F.flatten(F.transform(picks, lambda x: F.array(F.col("name"), x))), 1, length).alias("path"))
 
 

@@ -77,7 +77,7 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    touched = table(spark, sf_dir, "customer").where("c_custkey <= 3").select(F.concat(F.lit("idx__"), "c_custkey").alias("name"))
+    touched = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.concat(F.lit("idx__"), "c_custkey").alias("name"))
     return graph.affected(_edges(spark, sf_dir), touched)
 
 
@@ -145,9 +145,16 @@ def row_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.row_walk(adjacent, 6, SEED).select("root", F.array_join("path", ">").alias("path"))
 
 
+def weighted_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that prefer rare nodes."""
+    found = _weights(spark, sf_dir)
+    rare = graph.rare_weight("idf", F.col("frequency_in_graph"), F.col("degree"), 0.7, F.lit(1.0))
+    weights = found.select("name", graph.sampling_weight(F.lit(1.0), rare).alias("weight"))
+    return _path(walks.walk(_starts(spark, sf_dir), graph.weighted(graph.both_ways(_edges(spark, sf_dir)), weights), HOPS + 1, seed=SEED))
+
+
 def multiscale_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = _starts(spark, sf_dir).where("walk_id < 20")
-    return walks.multiscale(few, graph.indexed(_edges(spark, sf_dir)), ((3, 2), (4, 1)), SEED).select("scale", "walk_id", F.array_join("path", ">").alias("path"))
+    return walks.multiscale(_starts(spark, sf_dir), graph.indexed(_edges(spark, sf_dir)), ((3, 2), (4, 1)), SEED).select("scale", "walk_id", F.array_join("path", ">").alias("path"))
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +171,7 @@ def visit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("density", "mean", "std")])
 
 
-QUERIES = {f.__name__: f for f in (graph_cells, graph_nodes, graph_freq, graph_edges, graph_degree, graph_ngrams, adjacency, neighbour_index, graph_delete, graph_merge, affected, smooth_weight, rare_weight, sample_weight, meta_edges, uniform_walk, hidden_walk, first_node_walk, metapath_walk, row_walk, multiscale_walk, walk_stats, visit_histogram)}
+QUERIES = {f.__name__: f for f in (graph_cells, graph_nodes, graph_freq, graph_edges, graph_degree, graph_ngrams, adjacency, neighbour_index, graph_delete, graph_merge, affected, smooth_weight, rare_weight, sample_weight, meta_edges, uniform_walk, hidden_walk, first_node_walk, metapath_walk, row_walk, weighted_walk, multiscale_walk, walk_stats, visit_histogram)}
 
 _CLEAN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
 _CELLS = """cells AS (SELECT 'idx__' || c_custkey AS rid, c_custkey AS rid_num, 0 AS col_pos, 'c_name' AS col, c_name AS value FROM customer
@@ -182,7 +189,7 @@ _WALKED = "start AS (SELECT c_custkey * 2 + i AS walk_id, 'idx__' || c_custkey A
 
 
 def _draw(step: int, seed: int = SEED) -> str:
-    return f"((walk_id * {walks.A} + {step * walks.B + seed}) % {walks.M})"
+    return f"('0x' || substr(md5(walk_id || ':{step}:{seed}'), 1, 13))::BIGINT"
 
 
 def _hops(n: int, seed: int = SEED, start: str = "start", name: str = "w") -> str:
@@ -193,6 +200,13 @@ def _hops(n: int, seed: int = SEED, start: str = "start", name: str = "w") -> st
     return ", ".join(out)
 
 
+def _weighted_hops() -> str:
+    out = ["w0 AS (SELECT walk_id, root, root AS node, [root] AS path FROM start)"]
+    for i in range(1, HOPS + 1):
+        out.append(f"w{i} AS (SELECT walk_id, root, line.dst AS node, list_append(path, line.dst) AS path FROM w{i - 1} w JOIN line ON w.node = line.src AND {_draw(i)} % line.total >= line.hi - line.w AND {_draw(i)} % line.total < line.hi)")
+    return ", ".join(out)
+
+
 def _hidden() -> str:
     out = ["w0 AS (SELECT walk_id, root, root AS node, [root] AS path FROM start)"]
     for i in range(1, HOPS + 1):
@@ -223,7 +237,7 @@ ORACLE = {
     "neighbour_index": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, {_INDEX} SELECT src, idx.at AS \"at\", dst FROM idx",
     "graph_delete": f"WITH {_TOUCH}, {_EDGE}, gone AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey % 10 = 3) SELECT src, dst FROM edge WHERE src NOT IN (SELECT name FROM gone) AND dst NOT IN (SELECT name FROM gone)",
     "graph_merge": f"WITH {_NODE} SELECT name, frequency_in_graph FROM node",
-    "affected": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, n AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey <= 3) SELECT name FROM n UNION SELECT dst FROM arcs WHERE src IN (SELECT name FROM n)",
+    "affected": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, n AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey % 10 = 3) SELECT name FROM n UNION SELECT dst FROM arcs WHERE src IN (SELECT name FROM n)",
     "smooth_weight": f"WITH {_WEIGHT} SELECT name, round(ln(n / (d + 1.0::DOUBLE)), 6) AS icf, round(ln(words / (f + 1.0::DOUBLE)), 6) AS idf, round(1.0::DOUBLE / (ln(greatest(d, 1) + 1.0::DOUBLE) + 1.0::DOUBLE), 6) AS log, 1.0::DOUBLE AS no FROM wt",
     "rare_weight": f"WITH {_WEIGHT} SELECT name, round(pow(1.0::DOUBLE / (f + 1), 0.7), 6) AS idf, round(pow(1.0::DOUBLE / (d + 1), 0.7), 6) AS degree, 1.0::DOUBLE AS none FROM wt",
     "sample_weight": f"WITH {_WEIGHT} SELECT name, round(greatest(1e-12, pow(1.0::DOUBLE / (f + 1), 0.7)), 6) AS weight FROM wt",
@@ -234,9 +248,12 @@ ORACLE = {
         SELECT walk_id, root, f.dst || '>' || root AS path FROM start JOIN f ON f.src = root AND f.at = {_draw(0)} % f.n""",
     "metapath_walk": f"WITH {_GRAPH}, {_WALKED}, {_meta()} SELECT walk_id, root, array_to_string(path, '>') AS path FROM w{HOPS}",
     "row_walk": f"""WITH {_TOUCH}, {_EDGE}, {_BOTH}, a AS (SELECT src, list(dst ORDER BY dst) AS l FROM arcs WHERE src LIKE 'idx%' GROUP BY src), p AS (SELECT src AS root, substr(src, 6)::BIGINT AS number, l, unnest([1, 2, 3]) AS i FROM a)
-        SELECT root, string_agg(root || '>' || l[(number * {walks.A} + i * {walks.B} + {SEED}) % {walks.M} % len(l) + 1], '>' ORDER BY i) AS path FROM p GROUP BY root""",
-    "multiscale_walk": f"""WITH {_GRAPH}, {_INDEX}, {_WALKED}, few AS (SELECT * FROM start WHERE walk_id < 20), two AS (SELECT walk_id * 2 + i AS walk_id, root FROM few, (SELECT unnest([0, 1]) AS i)),
-        {_hops(2, SEED, "two", "x")}, {_hops(3, SEED + 1, "few", "y")} SELECT 3 AS scale, walk_id, array_to_string(path, '>') AS path FROM x2 UNION ALL SELECT 4, walk_id, array_to_string(path, '>') FROM y3""",
+        SELECT root, string_agg(root || '>' || l[('0x' || substr(md5(number || ':' || i || ':{SEED}'), 1, 13))::BIGINT % len(l) + 1], '>' ORDER BY i) AS path FROM p GROUP BY root""",
+    "weighted_walk": f"""WITH {_WEIGHT}, line AS (SELECT src, dst, w, sum(w) OVER (PARTITION BY src ORDER BY substr(md5(dst), 1, 3), dst) AS hi, sum(w) OVER (PARTITION BY src) AS total
+          FROM (SELECT src, dst, greatest(1, round(greatest(1e-12, pow(1.0::DOUBLE / (f + 1), 0.7)) * 1000000))::BIGINT AS w FROM arcs JOIN wt ON wt.name = arcs.dst)), {_WALKED}, {_weighted_hops()}
+        SELECT walk_id, root, array_to_string(path, '>') AS path FROM w{HOPS}""",
+    "multiscale_walk": f"""WITH {_GRAPH}, {_INDEX}, {_WALKED}, two AS (SELECT walk_id * 2 + i AS walk_id, root FROM start, (SELECT unnest([0, 1]) AS i)),
+        {_hops(2, SEED, "two", "x")}, {_hops(3, SEED + 1, "start", "y")} SELECT 3 AS scale, walk_id, array_to_string(path, '>') AS path FROM x2 UNION ALL SELECT 4, walk_id, array_to_string(path, '>') FROM y3""",
     "walk_stats": f"""WITH {_VISITS} SELECT type, count(*) AS n_nodes, round(avg(coalesce(visits, 0)), 6) AS mean_visits, count(*) FILTER (WHERE visits IS NULL) AS never_visited, max(coalesce(visits, 0)) AS most_visits,
         arg_min(name, (-coalesce(visits, 0), name)) AS most_visited FROM node LEFT JOIN seen USING (name) GROUP BY type""",
     "visit_histogram": f"""WITH {_VISITS}, z AS (SELECT min(visits) AS lo, max(visits) AS hi, avg(visits) AS mean, stddev_pop(visits) AS std, count(*) AS total FROM seen),
