@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from samewise import config as conf
-from samewise.operators import classify, decide, embed, evaluate, graph, knn, walks
+from samewise.operators import classify, decide, embed, evaluate, graph, knn, simstore, walks
 from samewise.session import session
 from samewise.sources import graphs as graph_files
 from samewise.sources.records import kafka_stream, pair_texts, read_csv
 from samewise.sources.shared import written
 from samewise.streaming import matcher
+from samewise.streaming.job import Job
 
 log = logging.getLogger("samewise")
 
@@ -69,7 +70,7 @@ def walks_of(nodes: DataFrame, edges: DataFrame, config: dict[str, Any]) -> Data
         return out
     seen = nodes.select("name", "isfirst", "isappear")
     first = graph.both_ways(edges).join(nodes.where("isfirst").select(F.col("name").alias("dst")), "dst").select("src", "dst")
-    return walks.walk(starts, graph.indexed(edges), w["walk_length"], nodes=seen, first_index=graph.numbered(first), backtrack=w["backtrack"])
+    return walks.walk(starts, walks.index_of(nodes, edges, g["smoothing_method"]), w["walk_length"], nodes=seen, first_index=graph.numbered(first), backtrack=w["backtrack"])
 
 
 def train_batch(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
@@ -80,32 +81,46 @@ def train_batch(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     if config["walks"]["write_walks"]:
         lines.select(F.array_join("path", " ").alias("value")).write.mode("overwrite").text(f"{out}-walks")
     corpus = embed.with_subwords(lines) if e["training_algorithm"] == "fasttext" else lines
-    made = embed.trained(corpus, size=e["n_dimensions"], window=e["window_size"], negative=e["negative"], epochs=e["epochs"], cbow=e["learning_method"] == "CBOW")
+    state = spark.read.parquet(config["embeddings_file"]) if config.get("embeddings_file") else None  # of an earlier run, to go on from
+    made = embed.trained(corpus, state, size=e["n_dimensions"], window=e["window_size"], negative=e["negative"], epochs=e["epochs"], cbow=e["learning_method"] == "CBOW")
     made.write.mode("overwrite").parquet(f"{out}-embeddings")
     graph_files.save(nodes, edges, f"{out}-graph")
+    similarities(spark.read.parquet(f"{out}-embeddings"), config)
     return spark.read.parquet(f"{out}-embeddings")
 
 
-def decided(vectors: DataFrame, source_a: int) -> DataFrame:
-    """The neighbours' decision over all records, then the pairs of different sources."""
-    found = written(knn.topk(vectors, 10), "neighbours")
+def similarities(state: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """The neighbours of all records, saved as lists that the evaluation reads, and the decided pairs, saved beside them."""
+    lists, out = config.get("similarity_list", {}), config["output_file_name"]
+    found = written(knn.topk(embed.records_only(state), lists.get("top_k", 10)), "neighbours")
+    heap = found.select(F.concat(F.lit("idx__"), "row").alias("key"), F.concat(F.lit("idx__"), "col").alias("word"), F.col("sim").alias("score"), "rank")
+    simstore.write_lists(heap, f"{out}-similarities.parquet", "parquet")
     edges = decide.decided(found)
-    return edges.where((F.col("row") <= source_a) != (F.col("col") <= source_a))
+    if config.get("source_a"):
+        edges = edges.where((F.col("row") < config["source_a"]) != (F.col("col") < config["source_a"]))
+    edges.write.mode("overwrite").parquet(f"{out}-matches")
+    return edges
 
 
 def match_stream(spark: SparkSession, config: dict[str, Any]) -> int:
-    """A Kafka topic, or a folder of JSON lines named stream_folder, through the matcher."""
+    """A Kafka topic, or a folder of JSON lines named stream_folder, through the window job, or with exact_only through the matcher alone.
+
+    A window strategy of time makes each micro-batch a window: with window_time seconds, one each; the run then goes on until it is stopped.
+    """
     k = config["kafka"]
     columns = config["columns"]
     schema = ", ".join(f"`{c}` string" for c in columns)
     if config.get("stream_folder"):
-        raw = spark.readStream.text(config["stream_folder"])
+        raw = spark.readStream.option("maxFilesPerTrigger", config.get("files_per_trigger", 16)).text(config["stream_folder"])
     else:
         raw = kafka_stream(spark, f"{k['bootstrap_servers']}:{k['port']}", k["topicid"])
     rows = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
     out = config["output_file_name"]
     spark.streams.addListener(Progress())
-    return matcher.run(rows, matcher.Matcher(spark, f"{out}-state", columns, columns, k["window_count"], k["update_frequency"]), f"{out}-checkpoint")
+    by_time = k["window_strategy"] == "time"
+    found = matcher.Matcher(spark, f"{out}-state", columns, columns, k.get("window_count", 0), 0 if by_time else k["update_frequency"], by_time)
+    trigger = {"processingTime": f"{k['window_time']} seconds"} if by_time and not config.get("drain") else {}
+    return matcher.run(rows, found if config.get("exact_only") else Job(found, config, out), f"{out}-checkpoint", **trigger)
 
 
 def evaluated(spark: SparkSession, config: dict[str, Any]) -> DataFrame:

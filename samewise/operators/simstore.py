@@ -64,16 +64,25 @@ def propagated(scores: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, fresh: DataFrame, key: str = "key") -> None:
-    """Put rows into a parquet table by key; rows of equal keys are replaced. The new table is written beside the old one, then takes its place."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        fresh.write.parquet(path)
-        return
-    old = spark.read.schema(fresh.schema).parquet(path)
-    old.join(fresh.select(key), key, "left_anti").unionByName(fresh).write.mode("overwrite").parquet(f"{path}.next")
-    remove(spark, path)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next"), where)
+    """Put rows into a parquet table by key; rows of equal keys are replaced, and of fresh rows with equal keys one stays. The new table is
+    written beside the old one, which is set aside, not deleted, before the new one takes its place; a run that finds no table but one
+    set aside goes on from that."""
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside, following = f"{path}.before", f"{path}.next"
+    if not fs.exists(at(path)) and fs.exists(at(aside)):
+        fs.rename(at(aside), at(path))
+    fresh = fresh.dropDuplicates([key])
+    rows = fresh
+    if fs.exists(at(path)):
+        old = spark.read.schema(fresh.schema).parquet(path)
+        rows = old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+    rows.write.mode("overwrite").parquet(following)
+    if fs.exists(at(path)):
+        remove(spark, aside)
+        fs.rename(at(path), at(aside))
+    fs.rename(at(following), at(path))
+    remove(spark, aside)
 
 
 def write_lists(heap: DataFrame, path: str, fmt: str) -> None:

@@ -9,9 +9,10 @@ from samewise.functions.text import token_key
 from samewise.operators import classify, embed, graph, walks
 from samewise.plans import graphs
 from samewise.plans.tables import table
+from samewise.plans.texts import PART_KEY
 from samewise.sources.records import pair_texts, split_sets
 from samewise.sources.shared import fresh_path, written
-from samewise.streaming import matcher, windows
+from samewise.streaming import job, matcher, windows
 
 COUNT, STRIDE = 130, 50
 
@@ -51,6 +52,25 @@ def stream_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.matches()
 
 
+JOB = {
+    "graph": {"flatten": ["tt"], "node_types": ["7#__tn", "7$__tt", "5$__st", "3$__idx", "1$__cid"], "smoothing_method": "no"},
+    "walks": {"walk_length": 4, "walks_number": 1, "backtrack": False},
+    "embeddings": {"learning_method": "skipgram", "window_size": 2, "negative": 2, "epochs": 1, "inc_epochs": 1, "n_dimensions": 8, "training_algorithm": "word2vec"},
+    "similarity_list": {"top_k": 3, "simlist_n": 3, "output_format": "parquet"},
+}
+
+
+def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as a file stream through the window job: the versions of the pairs that are equal records."""
+    schema = table(spark, sf_dir, "part").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir)
+    found = matcher.Matcher(spark, fresh_path(spark, "job"), ("p_name", "p_brand", "p_type"), ("p_partkey",), COUNT)
+    done = job.Job(found, JOB, fresh_path(spark, "job-out"))
+    matcher.run(stream, done, fresh_path(spark, "job-checkpoint"))
+    equal = found.matches().where("survivor <> rid OR match IS NOT NULL").select(F.concat(F.lit("idx__"), "rid").alias("rid_i"), F.concat(F.lit("idx__"), F.coalesce("match", "survivor")).alias("rid_j"))
+    return done.versions().join(equal, ["rid_i", "rid_j"]).select("pair_key", "rid_i", "rid_j", "version", "score", "stage", "decision", "active")
+
+
 def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     rows = s.join(n, s.s_nationkey == n.n_nationkey)
@@ -98,7 +118,7 @@ def pair_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.tested(model, sets["test"])
 
 
-QUERIES = {f.__name__: f for f in (count_window, sliding_count_window, time_window, window_exact, stream_e2e, pair_text, json_roundtrip, w2v_train, sgns_incremental, pair_classifier)}
+QUERIES = {f.__name__: f for f in (count_window, sliding_count_window, time_window, window_exact, stream_e2e, stream_match, pair_text, json_roundtrip, w2v_train, sgns_incremental, pair_classifier)}
 
 _KEY = "array_to_string(list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(event_type || '_' || props), '[^a-z0-9]+', '_', 'g'), '_'), '_'), lambda x: x <> '' AND x <> 'nan'))), ' ')"
 _N = "r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events)"
@@ -111,6 +131,10 @@ ORACLE = {
     "stream_e2e": f"""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS rid, {_KEY} AS k FROM events), w AS (SELECT rid, rid // {COUNT} AS window_id, k FROM r),
         f AS (SELECT *, min(rid) OVER (PARTITION BY k) AS first, min(window_id) OVER (PARTITION BY k) AS fw, min(rid) OVER (PARTITION BY k, window_id) AS survivor FROM w)
         SELECT rid, window_id, survivor, CASE WHEN fw < window_id THEN first END AS match FROM f""",
+    "stream_match": f"""WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS rid, {PART_KEY} AS k FROM part), w AS (SELECT rid, rid // {COUNT} AS window_id, k FROM r),
+        f AS (SELECT *, min(rid) OVER (PARTITION BY k) AS first, min(window_id) OVER (PARTITION BY k) AS fw, min(rid) OVER (PARTITION BY k, window_id) AS survivor FROM w),
+        m AS (SELECT 'idx__' || rid AS rid_i, 'idx__' || CASE WHEN fw < window_id THEN first ELSE survivor END AS rid_j FROM f WHERE fw < window_id OR survivor <> rid)
+        SELECT rid_i || '::' || rid_j AS pair_key, rid_i, rid_j, 1 AS version, 1.0::DOUBLE AS score, 'PM' AS stage, 'match' AS decision, true AS active FROM m""",
     "pair_text": "SELECT 'name' || s_name || 'nation' || s_nationkey AS text1, 'name' || n_name || 'region' || n_regionkey AS text2, (s_suppkey % 2)::INTEGER AS labels FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "json_roundtrip": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, '[\"' || event_type || '\",\"' || json_extract_string(props, '$.k') || '\"]' AS text, event_type FROM events",
 }
