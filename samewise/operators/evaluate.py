@@ -62,22 +62,31 @@ def metrics(correct: Column, found: Column, wanted: Column, suffix: str = "") ->
 def sweep(scores: DataFrame, wanted: DataFrame, thresholds: list[float], most: int, digits: int) -> DataFrame:
     """One row per threshold and k = 1..most: predicted, predicted_bis, correct, wanted and the metrics.
 
-    A pair's smallest cut at each score decides in which cells it is predicted, so the pairs are ranked once, and each meets the
-    grid in one join. bis counts only predictions that touch a node of the truth.
+    A pair is predicted from some cuts on at some scores: a corner per side that lists it, less where two corners overlap. So a pair adds a
+    few corners, which are counted by cut and step of the thresholds, and the grid takes its sums from these counts. bis counts only
+    predictions that touch a node of the truth. The grid has MAX_GRID cells at most.
     """
     if len(thresholds) * most > MAX_GRID:
         raise ValueError("the grid is too large")
     spark = scores.sparkSession
+    steps = sorted(set(thresholds), reverse=True)
     ranked = scores.withColumn("score", F.bround("score", digits)).where("key <> other").withColumn("cut", F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("score")))).where(F.col("cut") <= most)
     nodes = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sides = ranked.select(*ordered(F.col("key"), F.col("other")), "score", "cut").groupBy("a", "b", "cut").agg(F.max("score").alias("score"))
     known = sides.join(wanted.withColumn("true", F.lit(True)), ["a", "b"], "left")
     for end in ("a", "b"):
         known = known.join(nodes.select(F.col("node").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")
-    grid = spark.createDataFrame([(t, k) for t in thresholds for k in range(1, most + 1)], "threshold double, k int")
-    cells = known.join(F.broadcast(grid), (F.col("cut") <= F.col("k")) & (F.col("score") >= F.col("threshold")))
-    once = cells.groupBy("threshold", "k", "a", "b").agg(F.first(F.coalesce("true", F.lit(False))).alias("true"), F.first(F.coalesce("has_a", "has_b", F.lit(False))).alias("bis"))
-    sums = once.groupBy("threshold", "k").agg(F.count(F.lit(1)).alias("predicted"), F.count_if("bis").alias("predicted_bis"), F.count_if("true").alias("correct"))
+    before = F.max("score").over(Window.partitionBy("a", "b").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1))
+    corners = known.withColumn("before", before).where("before IS NULL OR score > before")
+    step = lambda x: F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t > x))
+    signed = F.explode(F.array(F.struct(F.lit(1).alias("sign"), step(F.col("score")).alias("step")), F.struct(F.when(F.col("before").isNotNull(), -1).otherwise(0).alias("sign"), step(F.coalesce("before", "score")).alias("step"))))
+    points = corners.select("cut", F.coalesce("true", F.lit(False)).cast("int").alias("true"), F.coalesce("has_a", "has_b", F.lit(False)).cast("int").alias("bis"), signed.alias("x"))
+    sign = F.col("x.sign")
+    counted = points.groupBy("cut", F.col("x.step").alias("step")).agg(F.sum(sign).alias("p"), F.sum(sign * F.col("bis")).alias("q"), F.sum(sign * F.col("true")).alias("c"))
+    grid = spark.createDataFrame([(t, k, steps.index(t)) for t in thresholds for k in range(1, most + 1)], "threshold double, k int, at int")
+    cells = grid.join(F.broadcast(counted), (F.col("cut") <= F.col("k")) & (F.col("step") <= F.col("at")))  # both at most as large as the grid
+    sums = cells.groupBy("threshold", "k").agg(F.sum("p").alias("predicted"), F.sum("q").alias("predicted_bis"), F.sum("c").alias("correct"))
+    grid = grid.drop("at")
     total = wanted.agg(F.count(F.lit(1)).alias("wanted"))
     every = grid.join(sums, ["threshold", "k"], "left").fillna(0).crossJoin(F.broadcast(total))  # one row
     c, w = F.col("correct"), F.col("wanted")
