@@ -18,7 +18,8 @@ PART_PAIRS = "FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.with_key(table(spark, sf_dir, "documents"), F.col("doc_id"), T.token_key([F.col("text")]))
+    """Documents with the digest of their token set: what is shuffled is 32 characters, not the text."""
+    return exact.with_key(table(spark, sf_dir, "documents"), F.col("doc_id"), F.md5(T.token_key([F.col("text")]).cast("binary")))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def skip_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.clusters(documents(spark, sf_dir)).select("survivor", "n_members", F.md5(F.col("token_key").cast("binary")).alias("key_md5"))
+    return exact.clusters(documents(spark, sf_dir)).select("survivor", "n_members", F.col("token_key").alias("key_md5"))
 
 
 def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,5 +159,10 @@ ORACLE = {
     "multiset_jaccard": f"""WITH {_PAIRS}, x AS {_COUNTS.format("ta", 1)}, y AS {_COUNTS.format("tb", 2)}
         SELECT a, b, round(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))) / sum(greatest(coalesce(x.n, 0), coalesce(y.n, 0))), 6) AS jaccard FROM x FULL JOIN y USING (a, b, w) GROUP BY a, b""",
     "multiset_equal": f"WITH {_PAIRS} SELECT a, b, list_sort(ta) = list_sort(tb) AS equal, list_sort(list_distinct(ta)) = list_sort(list_distinct(tb)) AS equal_sets FROM p",
+    "lev_ratio": f"""WITH n AS (SELECT DISTINCT a.p_name AS na, b.p_name AS nb {PART_PAIRS}),
+        l AS (SELECT na, nb, list_transform(string_split(na, ''), lambda c: ascii(c)) AS la, list_transform(string_split(nb, ''), lambda c: [ascii(c)]) AS lb FROM n),
+        r AS (SELECT na, nb, la, lb, list_reduce(list_prepend(list_transform(la, lambda c: 0), lb), lambda old, x: list_transform(range(1, len(la) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+          lambda i: CASE WHEN la[i] = x[1] THEN (CASE WHEN i > 1 THEN old[i - 1] ELSE 0 END) + 1 ELSE old[i] END)))) AS last FROM l)
+        SELECT p.a, p.b, round(2.0::DOUBLE * last[len(la)] / (len(la) + len(lb)), 6) AS ratio FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS na, b.p_name AS nb {PART_PAIRS}) p JOIN r USING (na, nb)""",
     "unigram_equal": f"WITH {_PAIRS} SELECT a, b, list_sort(ta) = list_sort(tb) AS equal FROM p",
 }
