@@ -33,6 +33,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _unit(ids: pa.Array, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keys = ids.values.to_numpy(zero_copy_only=False)
+    sizes = {len(v) if v.is_valid else 0 for v in flat.values}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
     m = flat.values.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1).astype(np.float64)
     return keys, m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
 

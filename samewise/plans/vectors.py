@@ -30,13 +30,13 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return _rounded(knn.topk(vectors, 10, queries=vectors.where("vec_id = 7")))
+    return _rounded(knn.topk(vectors, 10, queries=vectors.where("vec_id % 50 = 0")))
 
 
 def knn_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten times n best over all words, then those that are records (even ids), then the first n; fewer may be left."""
     vectors = table(spark, sf_dir, "embeddings")
-    found = knn.topk(vectors, 3 * 10, queries=vectors.where("vec_id = 8")).where(F.col("col") % 2 == 0)
+    found = knn.topk(vectors, 3 * 10, queries=vectors.where("vec_id % 50 = 0")).where(F.col("col") % 2 == 0)
     return _rounded(knn.ranked(found.select("row", "col", "sim"), 3))
 
 
@@ -163,8 +163,8 @@ _SWEEP = f"""{knn_sql(10)}, {_TRUE}, n AS (SELECT DISTINCT unnest([a, b]) AS nod
       round(q, 6) AS precision_bis, round(z, 6) AS recall_bis, round(CASE WHEN q + z > 0 THEN 2 * q * z / (q + z) ELSE 0.0 END, 6) AS f1_bis FROM y)"""
 ORACLE = {
     "knn_topk": f"WITH {knn_sql(K)} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
-    "knn_one": f"WITH {knn_sql(10, 'WHERE a.vec_id = 7')} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
-    "knn_basic": f"WITH {knn_sql(30, 'WHERE a.vec_id = 8')} SELECT * FROM (SELECT row, {_RANK}, col, round(sim, 6) AS sim FROM nn WHERE col % 2 = 0) WHERE rank <= 3",
+    "knn_one": f"WITH {knn_sql(10, 'WHERE a.vec_id % 50 = 0')} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
+    "knn_basic": f"WITH {knn_sql(30, 'WHERE a.vec_id % 50 = 0')} SELECT * FROM (SELECT row, {_RANK}, col, round(sim, 6) AS sim FROM nn WHERE col % 2 = 0) WHERE rank <= 3",
     "knn_cross_source": f"WITH {knn_sql(2 * K)} SELECT * FROM (SELECT row, {_RANK}, col, round(sim, 6) AS sim FROM nn WHERE (row <= {SOURCE_A}) <> (col <= {SOURCE_A})) WHERE rank <= {K}",
     "cosine_pairs": f"SELECT a.vec_id, round({_SIM}, 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "mutual_nn": f"WITH {knn_sql(1)} SELECT x.row, x.col, round(x.sim, 6) AS sim FROM nn x JOIN nn y ON x.col = y.row AND x.row = y.col WHERE x.row < x.col",
