@@ -11,10 +11,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 STATE = "word string, vec array<float>, ctx array<float>, n long"
 SHARD_ROWS = 20_000
@@ -22,7 +24,8 @@ FIELDS = 3, 6  # lengths of sub-words
 
 
 def word2vec(walks: DataFrame, path: str = "path", size: int = 64, window: int = 3, epochs: int = 5, min_count: int = 0, seed: int = 7, partitions: int = 1) -> DataFrame:
-    """(word, vec) of a first training."""
+    """(word, vec) of a first training. Spark's trainer keeps the vocabulary and its vectors on the driver, 4 * size bytes and the name for each
+    word; trained() does not."""
     model = Word2Vec(vectorSize=size, windowSize=window, maxIter=epochs, minCount=min_count, seed=seed, numPartitions=partitions, inputCol=path, outputCol="v").fit(walks)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vec"))
 
@@ -103,7 +106,11 @@ def trained(walks: DataFrame, state: DataFrame | None = None, path: str = "path"
 
 def with_subwords(walks: DataFrame, buckets: int = 1 << 16, path: str = "path") -> DataFrame:
     """Walks with one line more per word: the word and its sub-words, so that words of like spelling come near to each other."""
-    spelled = F.udf(lambda w: [w, *subwords(w, buckets)], "array<string>")
+
+    @arrow_udf("array<string>")
+    def spelled(words: pa.Array) -> pa.Array:
+        return pa.array([[w, *subwords(w, buckets)] for w in words.to_pylist()], pa.list_(pa.string()))
+
     words = walks.select(F.explode(path).alias("w")).distinct().select(spelled("w").alias(path))
     return walks.select(path).unionByName(words)
 

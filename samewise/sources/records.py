@@ -26,9 +26,10 @@ def decoded(raw: DataFrame, schema: T.StructType, value: str = "value") -> DataF
     return raw.select(F.from_json(F.col(value).cast("string"), schema).alias("m")).select("m.*").drop("timestamp")
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int = 10_000) -> DataFrame:
-    """Messages from the latest offset on. Needs Spark's Kafka package; offsets are kept in the query's checkpoint."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest").option("maxOffsetsPerTrigger", per_trigger).load()
+def kafka_stream(spark: SparkSession, servers: str, topic: str, per_trigger: int = 10_000, start: str = "earliest") -> DataFrame:
+    """Messages from the start on at first, then from where the query's checkpoint is. Needs Spark's Kafka package. A run that drains the
+    topic and ends has to start at the earliest offset: from the latest one there is nothing to drain."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", start).option("maxOffsetsPerTrigger", per_trigger).load()
 
 
 def json_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:

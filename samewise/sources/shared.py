@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder of the local machine
-is set instead.
+is set instead; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, set on the context if it was not yet."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="samewise-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -38,9 +41,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store through Spark's own file system layer."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
