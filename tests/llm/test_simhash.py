@@ -54,9 +54,16 @@ def test_against_brute_force(spark):
     compare(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
 
 
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = [(r.doc_id, brute_print(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted((i, f"{p:016x}", c) for (i, p), c in zip(texts, brute_components(texts), strict=True))
+    assert sorted(tuple(r) for r in simhash.query(spark, sf).select("doc_id", "fingerprint", "component_id").collect()) == want
+
+
 @pytest.mark.parametrize("agree", [2, 3, 4])
 def test_links_are_whole(spark, monkeypatch, agree):
-    monkeypatch.setattr(simhash, "_MAX_BAND_ROWS", ((1 << 62, agree),))
+    monkeypatch.setattr(simhash, "bands_to_agree", lambda points, bits: agree)
     rng = np.random.default_rng(agree)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2)
     prints = {int(b) for b in base}
@@ -99,8 +106,8 @@ def test_texts_that_meet_are_in_one_group_or_not_similar(spark):
         for v in range(12):
             words = [w if rng.random() > 0.02 else f"n{v}" for w in original]
             texts[f"{family}-{v:02d}"] = " ".join(words)
-    members = [("all", n, n == min(texts), min(texts)) for n in texts]
-    found = simhash.linked(spark.createDataFrame(members, "part string, node string, done boolean, hub string"), spark.createDataFrame(list(texts.items()), "node string, text string"), 5, 0.8)
+    members = [("all", n, min(texts)) for n in texts]
+    found = simhash.linked(spark.createDataFrame(members, "part string, node string, hub string"), spark.createDataFrame(list(texts.items()), "node string, text string").withColumn("s", simhash.sketched(F.col("text"), 5)).select("node", "text", "s.n", "s.odd"), 5, 0.8)
     got = {r.node: r.component for r in found.collect()}
     sets = {n: set(simhash.shingle_hashes(x, 5).tolist()) for n, x in texts.items()}
     want, moved = {n: n for n in texts}, True
@@ -111,3 +118,71 @@ def test_texts_that_meet_are_in_one_group_or_not_similar(spark):
                 if want[a] < want[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     want[b], moved = want[a], True
     assert {n: got.get(n, n) for n in texts} == want and 6 <= len(set(want.values())) < 60
+
+
+def test_unlike_texts_of_one_passage_meet_few_others(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([*passage, *(f"x{i}" for i in rng.integers(0, 50000, 30))]) for _ in range(300)]
+    twin = texts[7] + " end"
+    docs = spark.createDataFrame(list(enumerate([*texts, twin])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(300))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1, "p"), (1, "a b c d e f", "x", 1, "p"), (2, "A b c d e f", "y", 2, "q"), (None, None, None, 3, None), (3, "", "z", 4, "r")], "doc_id long, text string, row string, node int, `own.key` string")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.node) for r in got.collect()) == [(1, 1), (3, 4)]
+    assert simhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_bands_grow_with_the_points():
+    chosen = [simhash.bands_to_agree(10**e, 4) for e in range(3, 11)]
+    assert chosen == sorted(chosen) and chosen[0] == 2
+    for e, agree in zip(range(3, 11), chosen, strict=True):
+        by_chance = 10**e / 2 ** (simhash.SEGMENT_BITS * simhash.SEGMENTS * agree / (agree + 4))
+        assert by_chance < 6
+
+
+def test_odd_sketches_bound_the_difference():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 8, rng.integers(1, 400))) for _ in range(40)]
+    for h, cuts in simhash.shingle_sets(pa.array(texts), 5):
+        odd = simhash.odd_sketch(h, cuts)
+        sets = [set(h[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in range(len(sets)):
+            for j in range(i):
+                assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= len(sets[i] ^ sets[j])
+
+
+def test_recall_of_similar_pairs(spark, capsys):
+    """Pairs of 0.8 to 1.0 by brute force that share a fingerprint, over 10,000 documents."""
+    import pyarrow as pa
+
+    texts = sorted({r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text})
+    sets, keys = [], []
+    for h, cuts in simhash.shingle_sets(pa.array(texts), 5):
+        owner, key = simhash.partial_keys(h, cuts)
+        order = np.argsort(owner, kind="stable")
+        edge = np.searchsorted(owner[order], np.arange(len(cuts)))
+        for d in range(len(cuts) - 1):
+            sets.append(frozenset(h[cuts[d] : cuts[d + 1]].tolist()))
+            keys.append(frozenset(key[order][edge[d] : edge[d + 1]].tolist()))
+    holders = {}
+    for i, x in enumerate(sets):
+        for v in sorted(x)[: max(1, len(x) - -(-len(x) * 4 // 5) + 1)]:  # a pair of 0.8 shares one of these
+            holders.setdefault(v, []).append(i)
+    pairs = {(i, j) for held in holders.values() for i in held for j in held if i < j}
+    bands = {}
+    for i, j in pairs:
+        common = len(sets[i] & sets[j])
+        s = common / (len(sets[i]) + len(sets[j]) - common)
+        if s >= 0.8:
+            band = bands.setdefault(min(int((s - 0.8) * 20 + 1e-9), 3), [0, 0])
+            band[0] += 1
+            band[1] += bool(keys[i] & keys[j])
+    with capsys.disabled():
+        print("\nsimilarity, pairs, recall:", [(round(0.8 + b / 20, 2), n, round(f / n, 4)) for b, (n, f) in sorted(bands.items())])
+    assert bands and all(f >= 0.9 * n for n, f in bands.values())
