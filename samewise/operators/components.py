@@ -12,7 +12,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """Each node that has an edge, with the smallest node of its component, as (node, component).
 
     Large and small stars alternate until nothing moves, which takes few rounds even for long chains. A node's smallest
-    neighbour comes from an aggregation that combines before the shuffle and is joined back, so that a node of very many edges
+    neighbour comes from an aggregation that combines before the shuffle, is written, and is joined back, so that a node of very many edges
     is a skewed join, which adaptive execution splits, and never one group in one task. Every round is written to the shared folder.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
@@ -20,9 +20,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     before = None
     while True:
         both = stars.union(stars.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "components-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
         small = large.join(least, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
