@@ -126,7 +126,10 @@ def match_stream(spark: SparkSession, config: dict[str, Any]) -> int:
 def evaluated(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     if not config["source_a"]:
         log.warning("source_a is 0: the truth is not restricted to pairs with a record of source A")
-    scores = evaluate.read_similarities(spark, config["similarity_file"], config["output_format"])
+    if config["output_format"] == "graphml":
+        scores = graph_files.read_graphml(spark, spark.read.text(config["similarity_file"], wholetext=True).first()[0])
+    else:
+        scores = evaluate.read_similarities(spark, config["similarity_file"], config["output_format"])
     number = lambda c: F.regexp_extract(c, r"([0-9]+)$", 1).try_cast("long").alias(c)
     wanted = evaluate.read_truth(spark, config["match_file"], config["source_a"])
     grid = evaluate.sweep(scores.select(number("key"), number("other"), "score"), wanted, [i / 100 for i in range(95, 0, -5)], 10, config["eva"]["approximate"])

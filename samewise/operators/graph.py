@@ -186,6 +186,24 @@ def merged(old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
     return both.groupBy("name").agg(F.sum("frequency_in_graph").alias("frequency_in_graph"), F.min_by(F.struct(*rest), "__at").alias("r")).select("name", "frequency_in_graph", "r.*").select(old_nodes.columns)
 
 
+def refreshed(index: DataFrame, edge: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index of all edges, made from an older one: only the nodes named in changed are numbered anew, those of affected() after new records."""
+    names = changed.select(F.col("name").alias("src")).distinct()
+    return index.join(names, "src", "left_anti").unionByName(numbered(both_ways(edge).join(names, "src", "left_semi")))
+
+
+def neighbours(node: DataFrame, edge: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, neighbour, type) of the nodes in names; a record's neighbours are the record itself, read back."""
+    near = both_ways(edge).join(names.select(F.col("name").alias("src")).distinct(), "src", "left_semi")
+    return near.join(node.select(F.col("name").alias("dst"), "type"), "dst").select(F.col("src").alias("name"), F.col("dst").alias("neighbour"), "type")
+
+
+def summary(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """By type: nodes, how often they were touched, and the sum and the largest of their degrees."""
+    both = node.select("name", "type", "frequency_in_graph").join(degrees(edge), "name", "left").fillna(0, ["degree"])
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("frequency_in_graph").alias("frequency"), F.sum("degree").alias("degree"), F.max("degree").alias("most"))
+
+
 def affected(edge: DataFrame, touched_names: DataFrame) -> DataFrame:
     """Names touched and their neighbours: those whose samplers change."""
     names = touched_names.select("name").distinct()

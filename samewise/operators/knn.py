@@ -65,8 +65,11 @@ def _kernel(k: int):
     return kernel
 
 
-def topk(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(row, rank, col, sim): the k nearest other rows of each row, or of each query row; by similarity, then id. Fewer rows give fewer."""
+def topk(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None, block: int = BLOCK, among: Column | None = None) -> DataFrame:
+    """(row, rank, col, sim): the k nearest other rows of each row, or of each query row; by similarity, then id. Fewer rows give fewer.
+
+    Only rows for which the condition ``among`` holds are found, of which there are k if there can be.
+    """
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
 
     def packed(df: DataFrame) -> tuple[DataFrame, int]:
@@ -75,8 +78,8 @@ def topk(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddi
         pack = F.collect_list(F.struct(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<float>").alias("v")))
         return df.groupBy(at.alias("block")).agg(pack.alias("p")).select("block", F.col("p.i").alias("ids"), F.col("p.v").alias("vs")), n
 
-    right, n = packed(rows)
-    left = (packed(queries)[0] if queries is not None else right).select("ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    right, n = packed(rows if among is None else rows.where(among))
+    left = (packed(queries)[0] if queries is not None else right if among is None else packed(rows)[0]).select("ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     met = left.join(right.withColumnRenamed("ids", "ids2").withColumnRenamed("vs", "vs2"), "block").select("ids", "vs", "ids2", "vs2")
     return ranked(met.mapInArrow(_kernel(k), PAIRS), k)
 

@@ -63,6 +63,25 @@ def neighbour_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.indexed(_edges(spark, sf_dir))
 
 
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all customers, from that of the even ones and the nodes that the odd ones change."""
+    cells = _cells(spark, sf_dir)
+    touched = [graph.touches(cells.where(F.col("rid_num") % 2 == i)) for i in (0, 1)]
+    old, new = (written(graph.edges(x), "graph-edges") for x in touched)
+    changed = new.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    return graph.refreshed(written(graph.indexed(old), "index"), old.union(new).distinct(), changed)
+
+
+def record_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every tenth customer, read back from the graph."""
+    names = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.concat(F.lit("idx__"), "c_custkey").alias("name"))
+    return graph.neighbours(_nodes(spark, sf_dir), _edges(spark, sf_dir), names)
+
+
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
 def graph_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.concat(F.lit("idx__"), "c_custkey").alias("name"))
     return graph.removed(_nodes(spark, sf_dir), _edges(spark, sf_dir), gone)[1]
@@ -171,7 +190,7 @@ def visit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("density", "mean", "std")])
 
 
-QUERIES = {f.__name__: f for f in (graph_cells, graph_nodes, graph_freq, graph_edges, graph_degree, graph_ngrams, adjacency, neighbour_index, graph_delete, graph_merge, affected, smooth_weight, rare_weight, sample_weight, meta_edges, uniform_walk, hidden_walk, first_node_walk, metapath_walk, row_walk, weighted_walk, multiscale_walk, walk_stats, visit_histogram)}
+QUERIES = {f.__name__: f for f in (graph_cells, graph_nodes, graph_freq, graph_edges, graph_degree, graph_ngrams, adjacency, neighbour_index, index_refresh, record_neighbours, graph_summary, graph_delete, graph_merge, affected, smooth_weight, rare_weight, sample_weight, meta_edges, uniform_walk, hidden_walk, first_node_walk, metapath_walk, row_walk, weighted_walk, multiscale_walk, walk_stats, visit_histogram)}
 
 _CLEAN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
 _CELLS = """cells AS (SELECT 'idx__' || c_custkey AS rid, c_custkey AS rid_num, 0 AS col_pos, 'c_name' AS col, c_name AS value FROM customer
@@ -235,6 +254,9 @@ ORACLE = {
         SELECT DISTINCT 'idx__' || p_partkey AS rid, col, 'ng::' || n || '::' || array_to_string(t[i:i + n - 1], '{graph.SEPARATOR}') AS name FROM (SELECT p_partkey, col, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM v, (SELECT unnest([2, 3]) AS n))""",
     "adjacency": f"WITH {_TOUCH}, {_EDGE}, {_BOTH} SELECT src AS name, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM arcs GROUP BY src",
     "neighbour_index": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, {_INDEX} SELECT src, idx.at AS \"at\", dst FROM idx",
+    "index_refresh": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, {_INDEX} SELECT src, idx.at AS \"at\", dst FROM idx",
+    "record_neighbours": f"WITH {_GRAPH} SELECT src AS name, dst AS neighbour, type FROM arcs JOIN node ON node.name = dst WHERE src LIKE 'idx%' AND substr(src, 6)::BIGINT % 10 = 3",
+    "graph_summary": f"WITH {_GRAPH}, deg AS (SELECT src AS name, count(*) AS degree FROM arcs GROUP BY src) SELECT type, count(*) AS n_nodes, sum(frequency_in_graph)::BIGINT AS frequency, sum(coalesce(degree, 0))::BIGINT AS degree, max(coalesce(degree, 0)) AS most FROM node LEFT JOIN deg USING (name) GROUP BY type",
     "graph_delete": f"WITH {_TOUCH}, {_EDGE}, gone AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey % 10 = 3) SELECT src, dst FROM edge WHERE src NOT IN (SELECT name FROM gone) AND dst NOT IN (SELECT name FROM gone)",
     "graph_merge": f"WITH {_NODE} SELECT name, frequency_in_graph FROM node",
     "affected": f"WITH {_TOUCH}, {_EDGE}, {_BOTH}, n AS (SELECT 'idx__' || c_custkey AS name FROM customer WHERE c_custkey % 10 = 3) SELECT name FROM n UNION SELECT dst FROM arcs WHERE src IN (SELECT name FROM n)",

@@ -40,6 +40,12 @@ def knn_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn.ranked(found.select("row", "col", "sim"), 3))
 
 
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of even ids, for every query row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return _rounded(knn.topk(vectors, 10, queries=vectors.where("vec_id % 50 = 0"), among=F.col("vec_id") % 2 == 0))
+
+
 def knn_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn.cross_source(neighbours(spark, sf_dir, 2 * K), SOURCE_A, K))
 
@@ -132,7 +138,7 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.classification(table(spark, sf_dir, "labels"), "quality", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_one, knn_basic, knn_cross_source, cosine_pairs, mutual_nn, hub_degree, best_row_for_col, gap_ratio_test, match_decision, decision_pipeline, truth_pairs, similar_pairs, f1_sweep, prf, prf_bis, f1_best, f1_best_ascending, similarity_scatter, pair_metrics)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_one, knn_basic, knn_filtered, knn_cross_source, cosine_pairs, mutual_nn, hub_degree, best_row_for_col, gap_ratio_test, match_decision, decision_pipeline, truth_pairs, similar_pairs, f1_sweep, prf, prf_bis, f1_best, f1_best_ascending, similarity_scatter, pair_metrics)}
 
 _SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
@@ -165,6 +171,7 @@ ORACLE = {
     "knn_topk": f"WITH {knn_sql(K)} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
     "knn_one": f"WITH {knn_sql(10, 'WHERE a.vec_id % 50 = 0')} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
     "knn_basic": f"WITH {knn_sql(30, 'WHERE a.vec_id % 50 = 0')} SELECT * FROM (SELECT row, {_RANK}, col, round(sim, 6) AS sim FROM nn WHERE col % 2 = 0) WHERE rank <= 3",
+    "knn_filtered": f"WITH {knn_sql(10, 'WHERE a.vec_id % 50 = 0 AND b.vec_id % 2 = 0')} SELECT row, rank, col, round(sim, 6) AS sim FROM nn",
     "knn_cross_source": f"WITH {knn_sql(2 * K)} SELECT * FROM (SELECT row, {_RANK}, col, round(sim, 6) AS sim FROM nn WHERE (row <= {SOURCE_A}) <> (col <= {SOURCE_A})) WHERE rank <= {K}",
     "cosine_pairs": f"SELECT a.vec_id, round({_SIM}, 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "mutual_nn": f"WITH {knn_sql(1)} SELECT x.row, x.col, round(x.sim, 6) AS sim FROM nn x JOIN nn y ON x.col = y.row AND x.row = y.col WHERE x.row < x.col",

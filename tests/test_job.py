@@ -77,6 +77,17 @@ def test_stream_task_and_evaluation_of_its_lists(spark, tmp_path, strategy):
     assert best.columns[:2] == ["threshold", "k"]
 
 
+def test_evaluation_reads_graphml(spark, tmp_path):
+    from samewise.sources import graphs
+
+    members = spark.createDataFrame([("idx__0", "idx__0,idx__3"), ("idx__1", "idx__1")], "`group` string, members string")
+    edges = spark.createDataFrame([("idx__0", "idx__1", 0.25)], "a string, b string, weight double")
+    (tmp_path / "s.graphml").write_text(graphs.graphml(members, edges))
+    (tmp_path / "truth.txt").write_text("idx_0,idx_3\n")
+    best = app.run(spark, {"task": "evaluation", "similarity_file": str(tmp_path / "s.graphml"), "match_file": str(tmp_path / "truth.txt"), "source_a": 3}).first()
+    assert (best.f1, best.correct) == (1.0, 1)
+
+
 def test_upsert(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "key string, v int")
