@@ -46,6 +46,7 @@ SEGMENT_BITS = 1.415  # by which the count of a random segment tells two apart:
 SPREAD = 16
 MAX_IDS = 1 << 18  # rows of 16 bytes that are broadcast
 LANES = 8  # longs of an odd sketch
+HELD = 1 << 20  # bytes of text whose shingles a worker holds at once
 LOWERED = tb.byte_table(space_only=True, lower=True)
 _LOW = np.uint64(0x0101010101010101)
 
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For stretches of texts, the distinct hashes of their shingles in order, and where each text's begin and end."""
-    for _, _, data, offsets in tb.pieces(texts):
+    for _, _, data, offsets in tb.pieces(texts, HELD):
         w = tb.words(data, offsets, LOWERED)
         sizes = np.diff(w.first)
         runs = tb.runs_of(w.hash, words)
@@ -265,12 +266,16 @@ def similarity(a: Column, b: Column, words: int) -> Column:
     @arrow_udf("double")
     def column(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for i in range(0, len(left), 256):
-            sets = [[h[a:b] for h, cuts in shingle_sets(side[i : i + 256], words) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] for side in (left, right)]
+        held = np.cumsum([pc.fill_null(pc.binary_length(side), 0).to_numpy().astype(np.int64) for side in (left, right)], axis=1).sum(axis=0)
+        i = 0
+        while i < len(left):  # at least a pair, and no more than fit into HELD bytes
+            end = max(i + 1, int(np.searchsorted(held, (held[i - 1] if i else 0) + HELD, "right")))
+            sets = [[h[a:b] for h, cuts in shingle_sets(side[i:end], words) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] for side in (left, right)]
             for p, q in zip(*sets, strict=True):
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 union = len(p) + len(q) - common
                 out.append(common / union if union else 1.0)
+            i = end
         return pa.array(out, pa.float64())
 
     return column(a, b)
