@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.operators import decide, evaluate, knn
+from samewise.operators import decide, evaluate, index, knn
 from samewise.plans.tables import table
 from samewise.sources.shared import written
 
@@ -46,6 +46,19 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn.topk(vectors, 10, queries=vectors.where("vec_id % 50 = 0"), among=F.col("vec_id") % 2 == 0))
 
 
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows by the clustered index, for every query row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    centres = index.centres(vectors)
+    rows = written(index.placed(vectors, centres), "index")
+    return _rounded(index.search(rows, vectors.where("vec_id % 50 = 0"), centres, 10, index.probes_for(vectors, centres, 10)))
+
+
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours the index finds; one row."""
+    return index.recall(knn_index(spark, sf_dir), knn_one(spark, sf_dir))
+
+
 def knn_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(knn.cross_source(neighbours(spark, sf_dir, 2 * K), SOURCE_A, K))
 
@@ -138,7 +151,7 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.classification(table(spark, sf_dir, "labels"), "quality", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, knn_one, knn_basic, knn_filtered, knn_cross_source, cosine_pairs, mutual_nn, hub_degree, best_row_for_col, gap_ratio_test, match_decision, decision_pipeline, truth_pairs, similar_pairs, f1_sweep, prf, prf_bis, f1_best, f1_best_ascending, similarity_scatter, pair_metrics)}
+QUERIES = {f.__name__: f for f in (knn_topk, knn_one, knn_basic, knn_filtered, knn_index, knn_index_recall, knn_cross_source, cosine_pairs, mutual_nn, hub_degree, best_row_for_col, gap_ratio_test, match_decision, decision_pipeline, truth_pairs, similar_pairs, f1_sweep, prf, prf_bis, f1_best, f1_best_ascending, similarity_scatter, pair_metrics)}
 
 _SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samewise.sources.shared import written
+
 
 def in_order(df: DataFrame, ts: str, tie: str, name: str = "n") -> DataFrame:
-    """Number rows from 0 by (ts, tie). Hours are numbered by themselves and start where the hours before them end."""
-    hour = F.date_trunc("hour", F.col(ts))
-    rows = df.withColumn("__hour", hour)
-    before = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)  # one row per hour
-    starts = rows.groupBy("__hour").agg(F.count(F.lit(1)).alias("__c")).select("__hour", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
-    nth = F.row_number().over(Window.partitionBy("__hour").orderBy(ts, tie)) - 1
-    return rows.withColumn("__nth", nth).join(starts, "__hour").withColumn(name, F.col("__start") + F.col("__nth")).drop("__hour", "__nth", "__start")
+    """Number rows from 0 by (ts, tie). The rows are dealt by ranges of (ts, tie), near equal ones however they bunch in time, and written;
+    each range is numbered by itself and starts where those before it end."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, ts, tie).sortWithinPartitions(ts, tie).withColumn("__at", F.monotonically_increasing_id())
+    rows = written(dealt, "in-order")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__c")).select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    nth = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + nth).drop("__at", "__part", "__start")
 
 
 def tumbling(number: Column, size: int) -> Column:
