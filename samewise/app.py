@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import logging
 import time
+from logging.handlers import RotatingFileHandler
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,27 @@ from samewise.streaming import matcher
 from samewise.streaming.job import Job
 
 log = logging.getLogger("samewise")
+LOG_BYTES, LOG_FILES = 5_000_000, 10
 
 
 class Progress(StreamingQueryListener):
-    """Rows taken and seconds per micro-batch, and how far the source is ahead, in the log."""
+    """Rows taken, batches, seconds of the last one and how far the source is ahead, kept by stream in ``gauges`` and logged."""
+
+    def __init__(self) -> None:
+        self.gauges: dict[str, dict[str, Any]] = {}
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.gauges[str(event.id)] = {"consumed": 0, "batches": 0, "window_seconds": 0.0, "lag": 0}
         log.info("stream %s started", event.id)
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        log.info("batch %s: %s rows, %s ms, lag %s", p.batchId, p.numInputRows, p.durationMs.get("triggerExecution"), [s.metrics for s in p.sources])
+        g = self.gauges[str(p.id)]
+        g["consumed"] += p.numInputRows
+        g["batches"] += 1
+        g["window_seconds"] = p.durationMs.get("triggerExecution", 0) / 1000
+        g["lag"] = sum(int(float(s.metrics.get("maxOffsetsBehindLatest", 0))) for s in p.sources)  # Kafka's only
+        log.info("batch %s: %s rows, %s rows in all, %.3f s, %s behind", p.batchId, p.numInputRows, g["consumed"], g["window_seconds"], g["lag"])
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
@@ -105,7 +117,8 @@ def similarities(state: DataFrame, config: dict[str, Any]) -> DataFrame:
 def match_stream(spark: SparkSession, config: dict[str, Any]) -> int:
     """A Kafka topic, or a folder of JSON lines named stream_folder, through the window job, or with exact_only through the matcher alone.
 
-    A window strategy of time makes each micro-batch a window: with window_time seconds, one each; the run then goes on until it is stopped.
+    A window strategy of time makes each micro-batch a window: with window_time seconds, one each; the run then
+    goes on until nothing has come for idle_seconds, or, with none, until it is stopped.
     """
     k = config["kafka"]
     columns = config["columns"]
@@ -116,11 +129,16 @@ def match_stream(spark: SparkSession, config: dict[str, Any]) -> int:
         raw = kafka_stream(spark, f"{k['bootstrap_servers']}:{k['port']}", k["topicid"])
     rows = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
     out = config["output_file_name"]
-    spark.streams.addListener(Progress())
     by_time = k["window_strategy"] == "time"
     found = matcher.Matcher(spark, f"{out}-state", columns, columns, k.get("window_count", 0), 0 if by_time else k["update_frequency"], by_time)
-    trigger = {"processingTime": f"{k['window_time']} seconds"} if by_time and not config.get("drain") else {}
-    return matcher.run(rows, found if config.get("exact_only") else Job(found, config, out), f"{out}-checkpoint", **trigger)
+    live = by_time and not config.get("drain")
+    trigger = {"processingTime": f"{k['window_time']} seconds"} if live else {}
+    watch = Progress()
+    spark.streams.addListener(watch)
+    try:
+        return matcher.run(rows, found if config.get("exact_only") else Job(found, config, out), f"{out}-checkpoint", idle=k["idle_seconds"] if live else None, **trigger)
+    finally:
+        spark.streams.removeListener(watch)
 
 
 def evaluated(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
@@ -152,18 +170,46 @@ def run(spark: SparkSession, given: dict[str, Any]) -> Any:
     return out
 
 
+def log_to(path: str | None) -> None:
+    """The log of the driver, also to files that rotate, if a path is given; the path of the run before is left."""
+    for old in [h for h in log.handlers if isinstance(h, RotatingFileHandler)]:
+        log.removeHandler(old)
+        old.close()
+    if path:
+        where = Path(f"{path}.log")
+        where.parent.mkdir(parents=True, exist_ok=True)
+        handler = RotatingFileHandler(where, maxBytes=LOG_BYTES, backupCount=LOG_FILES, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     which = parser.add_mutually_exclusive_group(required=True)
     which.add_argument("-f", "--file", help="one configuration")
     which.add_argument("-d", "--dir", help="a folder of configurations, run in order")
+    parser.add_argument("--unblocking", action="store_true", help="go on with the next configuration when one fails, and fail at the end")
+    parser.add_argument("--no_info", action="store_true", help="log warnings and errors only")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
+    log.setLevel(logging.WARNING if args.no_info else logging.INFO)
+    failed = []
     for path in [args.file] if args.file else conf.files(args.dir):
-        out = run(session(), conf.read(path))
-        if isinstance(out, DataFrame):
-            out.show(20, truncate=False)
-
+        try:
+            given = conf.read(path)
+            log_to((given.get("log") or {}).get("path"))
+            out = run(session(), given)
+            if isinstance(out, DataFrame):
+                out.show(20, truncate=False)
+        except Exception:
+            if not args.unblocking:
+                raise
+            log.exception("%s failed", path)
+            failed.append(path)
+        finally:
+            log_to(None)
+    if failed:
+        raise SystemExit(f"failed: {', '.join(failed)}")
 
 
 if __name__ == "__main__":

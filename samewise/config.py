@@ -20,7 +20,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "smatch": _COMMON
     | {
         "similarity_list": {"top_k": 3, "simlist_n": 3, "simlist_show": 3, "strategy_suppl": "basic", "output_format": "graphml", "sim_structure": "graph"},
-        "kafka": {"topicid": "entity_resolution_process", "groupid": "er_group", "bootstrap_servers": "localhost", "port": 9092, "window_strategy": "count", "window_count": 50, "update_frequency": 0},
+        "kafka": {"topicid": "entity_resolution_process", "groupid": "er_group", "bootstrap_servers": "localhost", "port": 9092, "window_strategy": "count", "window_count": 50, "update_frequency": 0, "idle_seconds": 30},
     },
     "evaluation": {"output_file_name": "test", "log": {"path": "pipeline/logging"}, "source_a": 0, "eva": {"n_first": 3, "approximate": 16}},
     "llm-train": {},

@@ -39,6 +39,9 @@ class Job:
         self.matcher.flush(batch)
         self._round(batch + 1)
 
+    def latest(self) -> int:
+        return self.matcher.latest()
+
     def _old(self, name: str, schema: str, batch: int, only: bool = True) -> DataFrame:
         return self.matcher._read(name, schema, batch - 1, only)
 
@@ -99,6 +102,17 @@ class Job:
         latest = self.matcher._read("scores", SCORES, batch, False).withColumn("pos", -F.col("pos"))  # of a pair, the last round's counts
         self.write(simstore.heaps(latest, self.config["similarity_list"]["simlist_n"]))
 
+    def rebuild(self, batch: int) -> None:
+        """The lists anew, with every record up to this batch as a query, and the equal ones; what the rounds kept stays."""
+        vectors = written(embed.records_only(self._old("embeddings", embed.STATE, batch + 1)), "vectors")
+        near = written(knn.topk(vectors, self.config["similarity_list"]["top_k"]), "neighbours")
+        name = lambda c: F.concat(F.lit("idx__"), c)
+        found = near.select(name("row").alias("key"), name("col").alias("word"), F.col("sim").alias("score"))
+        ones = self._old("scores", SCORES, batch + 1, only=False).where("score = 1.0").select("key", "word", "score")
+        both = found.union(found.select(F.col("word").alias("key"), F.col("key").alias("word"), "score")).union(ones)
+        rows = both.groupBy("key", "word").agg(F.max("score").alias("score")).withColumn("pos", F.lit(0).cast("long"))
+        self.write(simstore.heaps(rows, self.config["similarity_list"]["simlist_n"]))
+
     def write(self, heap: DataFrame) -> None:
         """The lists as parquet or JSON; db and graphml get the table of edges beside the lists, for graph_files.graphml()."""
         fmt = self.config["similarity_list"]["output_format"]

@@ -9,6 +9,7 @@ anew every COMPACT batches, so that a batch reads the last gathering and what ca
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from samewise.functions.text import token_key
 
 COMPACT = 32  # batches
+POLL = 1.0  # seconds between looks at a stream that may be idle
 STORE = "token_key string, rid long, window_id long"
 MATCHES = "rid long, window_id long, survivor long, match long"
 
@@ -30,11 +32,14 @@ class Matcher:
         self.size, self.stride, self.by_time = window_count, stride or window_count, by_time
         self.record_schema = ", ".join(["rid long", *(f"`{c}` string" for c in self.columns)])
 
+    def _has(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
     def _read(self, name: str, schema: str, before: int, only: bool, keep: bool = False) -> DataFrame:
         """What batches before this one have written; with only, what the last of them has."""
         path = f"{self.base}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not self._has(name):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema if keep else f"{schema}, batch long").option("basePath", path).parquet(path)
         rows = rows.where(F.col("batch") == before if only else F.col("batch") <= before)
@@ -106,16 +111,36 @@ class Matcher:
         """(rid, window_id, survivor, match) of all windows so far, or of those that one batch judged."""
         return self._read("matches", MATCHES, batch, only)
 
+    def latest(self) -> int:
+        """The number of the last batch, -1 before the first."""
+        found = self._read("next", "n long, batch long", 1 << 60, False, keep=True) if self._has("next") else None
+        return -1 if found is None else found.agg(F.max("batch")).first()[0]
+
     def records(self, batch: int = 1 << 60) -> DataFrame:
         """The records with their numbers."""
         return self._read("records", self.record_schema, batch, False)
 
 
-def run(stream: DataFrame, matcher, checkpoint: str, **trigger) -> int:
-    """Run until the stream is drained (or as the trigger says), flush, and return the last batch's number. matcher has process and flush."""
+def run(stream: DataFrame, matcher, checkpoint: str, idle: float | None = None, **trigger) -> int:
+    """Run until the stream is drained (or as the trigger says), flush, and return the last batch's number, -1 if there never was one.
+    matcher has process, flush and latest. Flushing again what a run before has flushed changes nothing.
+
+    With ``idle``, a stream that goes on is stopped between two batches once no rows have come for so many seconds.
+    """
     query = stream.writeStream.foreachBatch(matcher.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    query.awaitTermination()
-    done = query.recentProgress
-    last = done[-1]["batchId"] if done else -1
-    matcher.flush(last)
+    if idle is None:
+        query.awaitTermination()
+    else:
+        seen, since = None, time.monotonic()
+        while not query.awaitTermination(POLL):
+            progress, status = query.lastProgress, query.status
+            last = progress["batchId"] if progress and progress["numInputRows"] else seen
+            if status["isTriggerActive"] or status["isDataAvailable"] or last != seen:
+                seen, since = last, time.monotonic()
+            elif time.monotonic() - since > idle:
+                query.stop()
+                break
+    last = matcher.latest()
+    if last >= 0:
+        matcher.flush(last)
     return last

@@ -103,3 +103,74 @@ def test_vectors_of_different_lengths_are_refused(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="different lengths"):
         knn.topk(vectors, 1).collect()
+
+
+def made(spark, folder, **more):
+    given = {"task": "smatch", "columns": ["name", "street"], "stream_folder": str(folder / "in"), "output_file_name": str(folder / "o"), **{k: JOB[k] for k in ("walks", "embeddings", "similarity_list")}}
+    return given | more
+
+
+def lines(rows):
+    return "".join(json.dumps({"name": a, "street": b}) + "\n" for _, a, b in rows)
+
+
+def test_a_run_that_finds_nothing_new_changes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(lines(ROWS[:12]))
+    given = made(spark, tmp_path, drain=True, files_per_trigger=1, kafka={"window_strategy": "count", "window_count": 5})
+    assert app.run(spark, given) == 0
+    (tmp_path / "in/b.json").write_text(lines(ROWS[12:25]))
+    assert app.run(spark, given) == 1
+    read = lambda: sorted(map(str, spark.read.parquet(f"{tmp_path}/o-similarities.parquet").collect()))
+    before = read()
+    assert app.run(spark, given) == 1 and read() == before
+
+
+def test_a_live_stream_stops_when_idle(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(lines(ROWS[:6]))
+    given = made(spark, tmp_path, exact_only=True, kafka={"window_strategy": "time", "window_time": 1, "idle_seconds": 3})
+    assert app.run(spark, given) == 0
+    assert matcher.Matcher(spark, f"{tmp_path}/o-state", ("name", "street"), ("name",), 0, by_time=True).matches().count() == 6
+
+
+def test_rebuild(spark):
+    out = fresh_path(spark, "out")
+    done = job.Job(matcher.Matcher(spark, fresh_path(spark, "job"), ("name", "street", "extra"), ("n",), 8, by_time=True), JOB, out)
+    for batch, rows in enumerate(batches(spark)):
+        done.process(rows, batch)
+    done.rebuild(1)
+    n = JOB["similarity_list"]["simlist_n"]
+    found = {r.key: json.loads(r.similarity) for r in spark.read.parquet(f"{out}-similarities.parquet").collect()}
+    judged = done.matcher.matches().collect()
+    fresh = {f"idx__{r.rid}" for r in judged if r.match is None and r.survivor == r.rid}
+    assert fresh <= set(found) and all(0 < len(x) <= n for x in found.values())
+    assert all(key not in [w for _, w in x] for key, x in found.items())
+
+
+def test_gauges():
+    class Event:
+        def __init__(self, **kw):
+            self.__dict__.update(kw)
+
+    watch = app.Progress()
+    watch.onQueryStarted(Event(id="s"))
+    for n in (3, 4):
+        watch.onQueryProgress(Event(progress=Event(id="s", batchId=n, numInputRows=n, durationMs={"triggerExecution": 1500}, sources=[Event(metrics={"maxOffsetsBehindLatest": "9"})])))
+    assert watch.gauges["s"] == {"consumed": 7, "batches": 2, "window_seconds": 1.5, "lag": 9}
+
+
+def test_command_line_goes_on_and_logs_to_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(app, "LOG_BYTES", 400)
+    monkeypatch.setattr(app, "session", lambda: spark)
+    for i, body in enumerate(("task: nothing", "task: llm-test", "task: llm-test")):
+        (tmp_path / f"{i}.yaml").write_text(f"{body}\nlog:\n  path: {tmp_path}/logs/run{i}\n")
+    with pytest.raises(ValueError, match="nothing"):
+        app.main(["-d", str(tmp_path)])
+    with pytest.raises(SystemExit, match="0.yaml"):
+        app.main(["-d", str(tmp_path), "--unblocking"])
+    assert "failed" in (tmp_path / "logs/run0.log").read_text() and "took" in (tmp_path / "logs/run2.log").read_text()
+    with pytest.raises(SystemExit):
+        app.main(["-d", str(tmp_path), "--unblocking", "--no_info"])
+    assert (tmp_path / "logs/run2.log").read_text().count("took") == 1
+    assert (tmp_path / "logs/run0.log.1").exists()  # rotated
