@@ -172,3 +172,46 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _counted(chars: str) -> str:
+    """SQL for the number of characters of the text in a class such as [a-z]+."""
+    return "length(t) - length(regexp_replace(t, '{}', '', 'g'))".format(chars.replace("'", "''"))
+
+
+_LISTED = ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in COMMON.items() for i, w in enumerate(words))
+_BARE = (CAPITALS + PUNCTUATION).replace("'", "''")
+_WORD = r"[^\x20\x09-\x0D]+"
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+c AS (
+  SELECT *, regexp_extract_all(t, '{_WORD}') AS w, regexp_extract_all(translate(t, '{_BARE}', '{CAPITALS.lower()}'), '{_WORD}') AS bare,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines, [{", ".join(map(_counted, CLASSES))}] AS known FROM d),
+placed AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c),
+runs AS (SELECT r, i, concat_ws(' ', x, {", ".join(f"lead(x, {n}) OVER o" for n in range(1, WINDOW))}) AS k, lead(x, {WINDOW - 1}) OVER o AS last FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM runs WHERE last IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, sum(gap)::BIGINT AS n FROM (SELECT r, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, {WINDOW})) AS gap FROM twice) GROUP BY r),
+rules AS (
+  SELECT r, doc_id, lang, len(w) AS n_words, length(t) - known[{CLASSES.index(BLANK) + 1}] AS word_chars, {_counted(SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, list_append(known, length(t) - list_sum(known)::BIGINT) AS classes, bare,
+    len(w) < {MIN_WORDS} OR 100 * coalesce(n, 0) > {round(100 * MAX_REPEATED)} * len(w) AS base_failed FROM c LEFT JOIN covered USING (r)),
+listed AS (SELECT * FROM (VALUES {_LISTED}) AS v(lang, i, x)),
+found AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(bare) AS x FROM rules) GROUP BY r, x),
+common AS (SELECT rules.r, listed.i, coalesce(found.n, 0) AS n FROM rules JOIN listed USING (lang) LEFT JOIN found ON found.r = rules.r AND found.x = listed.x),
+counts AS (
+  SELECT r, 'c' AS kind, unnest(range(len(classes))) AS i, unnest(classes) AS n FROM rules
+  UNION ALL SELECT r, 'w', i, n FROM common
+  UNION ALL SELECT r, 'w', -1, any_value(len(bare)) - sum(n)::BIGINT FROM common JOIN rules USING (r) GROUP BY r),
+shares AS (SELECT r, kind, i, n, n / nullif(sum(n) OVER (PARTITION BY r, kind), 0) AS p FROM counts),
+passing AS (SELECT lang FROM rules WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= {REFERENCE_FROM}),
+sums AS (SELECT lang, kind, i, sum(n) AS n FROM counts JOIN rules USING (r) JOIN passing USING (lang) WHERE NOT base_failed GROUP BY lang, kind, i),
+refs AS (SELECT lang, kind, i, n / nullif(sum(n) OVER (PARTITION BY lang, kind), 0) AS q FROM sums),
+far AS (
+  SELECT r, kind, sqrt(greatest(sum(({_PART.format("p", "q")}) + ({_PART.format("q", "p")})) / 2, 0)) AS apart
+  FROM shares JOIN rules USING (r) JOIN refs USING (lang, kind, i) WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY r, kind),
+without AS (SELECT lang, sqrt((1 - q + log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END) / 2) AS none FROM refs WHERE kind = 'w' AND i = -1 AND q < 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {CHARACTERS_FROM} AND coalesce(a.apart, 0) > {MAX_CHARACTERS}) AND NOT (n_words >= {WORDS_FROM} AND coalesce(b.apart >= {WORDS_PART} * none, FALSE)) AS kept
+FROM rules LEFT JOIN far AS a ON a.r = rules.r AND a.kind = 'c' LEFT JOIN far AS b ON b.r = rules.r AND b.kind = 'w' LEFT JOIN without ON without.lang = rules.lang
+"""

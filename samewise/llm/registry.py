@@ -21,5 +21,6 @@ ORACLE = {
     "op3_mixing": mixing.SQL,
     "op4_decontamination": decontamination.SQL,
     "op6_archives": archives.SQL,
+    "op8_quality": quality.SQL,
     "op9_passages": passages.SQL,
 }

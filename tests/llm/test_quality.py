@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from samewise.llm import quality
+from tests.compare import assert_same
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -57,6 +59,9 @@ def test_cases(spark, seed):
     rows = [(i if i else None, t, rng.choice([None, "en", "zz"]), 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, *rows[20:22]], "doc_id long, text string, lang string, n_words int")
     check(spark, docs)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert_same(quality.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), con, quality.SQL)
     assert quality.judged(docs.where("false")).collect() == []
 
 
