@@ -7,6 +7,8 @@ from copy import deepcopy
 from pathlib import Path
 from typing import Any
 
+from samewise.sources.listfiles import local
+
 TASKS = ("smatch", "evaluation", "batch", "llm-train", "llm-test")
 _COMMON = {
     "output_file_name": "test",
@@ -134,6 +136,8 @@ def checked(given: dict[str, Any]) -> dict[str, Any]:
         if wanted not in config["kafka"]:
             raise ValueError(f"kafka.{wanted} is missing")
         _one_of(config, "similarity_list", "output_format", ("db", "json", "parquet", "graphml"))
+        if config["similarity_list"]["output_format"] == "db":
+            local(config["output_file_name"])
         _one_of(config, "similarity_list", "strategy_suppl", ("faiss", "basic"))
     for name in {"batch": ("dataset_file",), "evaluation": ("similarity_file", "match_file")}.get(task, ()):
         if not config.get(name):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from samewise.sources.listfiles import read_lists
+
 MAX_GRID = 10_000
 
 
@@ -27,11 +29,9 @@ def read_truth(spark: SparkSession, path: str, source_a: int = 0) -> DataFrame:
 
 
 def read_similarities(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """(key, other, score) from a table of key and a JSON list of [score, word] pairs, in parquet or json."""
-    if fmt not in ("parquet", "json"):
-        raise ValueError("fmt must be parquet or json")
-    rows = spark.read.format(fmt).load(path)
+    """(key, other, score) from lists in parquet, json or a database."""
     pair = F.from_json("similarity", "array<array<string>>")
+    rows = read_lists(spark, path, fmt)
     return rows.select("key", F.explode(pair).alias("p")).select("key", F.col("p")[1].alias("other"), F.col("p")[0].cast("double").alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from samewise.operators.components import components
+from samewise.sources.listfiles import FORMATS, write_db
 from samewise.sources.shared import remove
 
 
@@ -86,8 +87,11 @@ def upsert(spark: SparkSession, path: str, fresh: DataFrame, key: str = "key") -
 
 
 def write_lists(heap: DataFrame, path: str, fmt: str) -> None:
-    if fmt not in ("parquet", "json"):
-        raise ValueError("fmt must be parquet or json")
+    if fmt not in FORMATS:
+        raise ValueError(f"fmt must be one of {', '.join(FORMATS)}")
+    if fmt == "db":
+        write_db(lists(heap), path)
+        return
     lists(heap).write.mode("overwrite").format(fmt).save(path)
 
 

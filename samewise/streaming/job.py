@@ -114,11 +114,12 @@ class Job:
         self.write(simstore.heaps(rows, self.config["similarity_list"]["simlist_n"]))
 
     def write(self, heap: DataFrame) -> None:
-        """The lists as parquet or JSON; db and graphml get the table of edges beside the lists, for graph_files.graphml()."""
+        """The lists in the format asked for; with graphml they are parquet, and get the table of edges beside them, for graph_files.graphml()."""
         fmt = self.config["similarity_list"]["output_format"]
         heap = written(heap, "heap")
-        simstore.write_lists(heap, f"{self.out}-similarities.{'json' if fmt == 'json' else 'parquet'}", "json" if fmt == "json" else "parquet")
-        if fmt in ("db", "graphml"):
+        own = "parquet" if fmt == "graphml" else fmt
+        simstore.write_lists(heap, f"{self.out}-similarities.{own}", own)
+        if fmt == "graphml":
             simstore.write_edges(heap.where("key < word").select(F.col("key").alias("a"), F.col("word").alias("b"), F.col("score").alias("weight")), f"{self.out}-edges")
 
     def versions(self, batch: int = 1 << 60) -> DataFrame:
