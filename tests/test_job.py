@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from samewise import app
 from samewise.operators import knn, simstore
 from samewise.plans.streams import JOB
+from samewise.sources import listfiles
 from samewise.sources.shared import fresh_path
 from samewise.streaming import job, matcher
 
@@ -60,18 +61,18 @@ def test_first_records_are_gathered(spark, monkeypatch):
     assert [matches[2 * b] for b in range(5)] == [None, None, 0, 2, 0] and all(matches[2 * b + 1] is None for b in range(5))
 
 
-@pytest.mark.parametrize("strategy", ["count", "time"])
-def test_stream_task_and_evaluation_of_its_lists(spark, tmp_path, strategy):
+@pytest.mark.parametrize(("strategy", "fmt"), [("count", "parquet"), ("time", "db")])
+def test_stream_task_and_evaluation_of_its_lists(spark, tmp_path, strategy, fmt):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.json").write_text("".join(json.dumps({"name": a, "street": b}) + "\n" for _, a, b in ROWS[:30]))
     given = {"task": "smatch", "columns": ["name", "street"], "stream_folder": str(folder), "output_file_name": str(tmp_path / "o"), "drain": True, **{k: JOB[k] for k in ("walks", "embeddings")}}
     given["graph"] = {"smoothing_method": "log"}
     given["kafka"] = {"window_strategy": strategy, "window_time": 1, "window_count": 10}
-    given["similarity_list"] = JOB["similarity_list"]
+    given["similarity_list"] = JOB["similarity_list"] | {"output_format": fmt}
     app.run(spark, given)
-    lists = f"{tmp_path}/o-similarities.parquet"
-    assert spark.read.parquet(lists).count() > 10 and os.path.isdir(f"{tmp_path}/o-changes")
+    lists = f"{tmp_path}/o-similarities.{fmt}"
+    assert listfiles.read_lists(spark, lists, fmt).count() > 10 and os.path.isdir(f"{tmp_path}/o-changes")
     (tmp_path / "truth.txt").write_text("idx_0,idx_1\n")
     best = app.run(spark, {"task": "evaluation", "similarity_file": lists, "match_file": str(tmp_path / "truth.txt"), "source_a": 40})
     assert best.columns[:2] == ["threshold", "k"]
