@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Fixed value: the table that holds lists in a database.
 TABLE = "matchinglist"
 FORMATS = ("parquet", "json", "db")
 SCHEMA = "key string, similarity string"
