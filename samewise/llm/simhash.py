@@ -133,7 +133,10 @@ def bands_to_agree(points: int, bits: int) -> int:
 
 
 def links(points: DataFrame, count: int, bits: int = BITS) -> DataFrame:
-    """All pairs of the distinct fingerprints in column ``print``, of which there are ``count``, that differ in at most ``bits`` bits, as (src, dst)."""
+    """All pairs of the distinct fingerprints in column ``print``, of which there are ``count``, that differ in at most ``bits`` bits, as (src, dst).
+
+    Spark takes the grid to be as small as the points, of which it has many rows each; unless told to merge, it broadcasts the grid.
+    """
     masks = cells(bands_to_agree(count, bits), bits)
     code = unary_counts(F.col("print"))
     cell = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), code.bitwiseAND(F.lit(m)).alias("cell")) for t, m in enumerate(masks)]))
@@ -151,7 +154,7 @@ def links(points: DataFrame, count: int, bits: int = BITS) -> DataFrame:
         & (F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))) <= bits)
         & (first == F.col("a.t"))
     )
-    return a.join(b, near).select(F.col("a.print").alias("src"), F.col("b.print").alias("dst"))
+    return a.join(b.hint("merge"), near).select(F.col("a.print").alias("src"), F.col("b.print").alias("dst"))
 
 
 def clustered(marks: DataFrame, key: str, bits: int = BITS) -> DataFrame:

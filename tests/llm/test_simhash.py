@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from samewise.llm import simhash
+from samewise.sources.shared import written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -186,3 +187,14 @@ def test_recall_of_similar_pairs(spark, capsys):
     with capsys.disabled():
         print("\nsimilarity, pairs, recall:", [(round(0.8 + b / 20, 2), n, round(f / n, 4)) for b, (n, f) in sorted(bands.items())])
     assert bands and all(f >= 0.9 * n for n, f in bands.values())
+
+
+def initial_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_grid_is_not_broadcast(spark):
+    points = written(spark.createDataFrame([(1,), (3,), (1 << 40,)], "print long"), "test-points")  # of a known, small size
+    found = simhash.links(points, 3)
+    assert "SortMergeJoin" in initial_plan(found) and "Broadcast" not in initial_plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
