@@ -18,6 +18,9 @@ Edge cases: a NULL, empty or blank text has fingerprint zero and links like any
 shingle of all of them; a shingle counts as often as it stands in the text; rows may repeat, and each gets its row in the result; a
 component whose ids are all NULL has a NULL id; an empty table gives an empty result. Only the id and text columns are read;
 deduplicated() passes the other columns on, whatever their names.
+
+Joins are merges by hint: Spark goes by the size of files, and lists of parts that many texts share, or texts that are nearly equal, take
+far more memory than disk, so tables that it takes for small would fill the driver. What picked() broadcasts is counted first.
 """
 
 from __future__ import annotations
@@ -161,10 +164,10 @@ def clustered(marks: DataFrame, key: str, bits: int = BITS) -> DataFrame:
     """Rows of (key, print) with ``component``: the smallest key among the prints reachable over links."""
     points = written(marks.groupBy("print").agg(F.min(key).alias("least")), "simhash-points")
     found = components(links(points.select("print"), points.count(), bits))
-    placed = written(points.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("hub", F.coalesce("component", "print")), "simhash-placed")
+    placed = written(points.join(found.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("hub", F.coalesce("component", "print")), "simhash-placed")
     named = written(placed.groupBy("hub").agg(F.min("least").alias("least")), "simhash-named")  # apart from the join, which then splits
-    by_print = written(placed.select("print", "hub").join(named, "hub").select("print", F.col("least").alias("component")), "simhash-components")
-    return marks.join(by_print, "print")
+    by_print = written(placed.select("print", "hub").join(named.hint("merge"), "hub").select("print", F.col("least").alias("component")), "simhash-components")
+    return marks.join(by_print.hint("merge"), "print")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -286,7 +289,7 @@ def similarity(a: Column, b: Column, words: int) -> Column:
 
 def similar(pairs: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts in bodies (node, text, n, odd) are similar to ``least``. Sketches are compared before texts."""
-    side = lambda x, *cs: bodies.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs])
+    side = lambda x, *cs: bodies.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs]).hint("merge")
     sketch = pairs.join(side("a", "n", "odd"), "a").join(side("b", "n", "odd"), "b")
     close = sketch.where(apart_at_least(F.col("odd_a"), F.col("odd_b")) <= (1 - least) / (1 + least) * (F.col("n_a") + F.col("n_b")) + 1e-9).select("a", "b")
     both = written(close, "simhash-close").join(side("a", "text"), "a").join(side("b", "text"), "b")
@@ -311,16 +314,16 @@ def rare_parts(bodies: DataFrame, words: int, least: float) -> DataFrame:
     sets = written(bodies.select("node", "n", shingles(F.col("text"), words).alias("s")), "simhash-sets")
     each = sets.select("node", "n", F.explode("s").alias("part"))
     often = written(each.groupBy("part").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "simhash-often")
-    listed = each.join(often, "part").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "part"))).alias("l")).withColumn("m", F.size("l"))
+    listed = each.join(often.hint("merge"), "part").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "part"))).alias("l")).withColumn("m", F.size("l"))
     needed = F.ceil(least * F.col("n") - 1e-9).cast("int")
     some = listed.where(F.col("m") >= needed).select("node", "n", "m", F.explode(F.slice("l", F.lit(1), F.col("m") - needed + 1)).alias("x"))
-    return written(shared_parts(some.select("x.part", "node", "n", "m")).drop("hub").join(bodies.select("node", "odd"), "node"), "simhash-rare")
+    return written(shared_parts(some.select("x.part", "node", "n", "m")).drop("hub").join(bodies.select("node", "odd").hint("merge"), "node"), "simhash-rare")
 
 
 def shared_parts(keyed: DataFrame) -> DataFrame:
     """(part, node, hub) of the parts that two nodes or more have; the hub is the part's smallest node."""
     hubs = written(keyed.groupBy("part").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "hub"), "simhash-parts")
-    return written(keyed.join(hubs, "part"), "simhash-members")
+    return written(keyed.join(hubs.hint("merge"), "part"), "simhash-members")
 
 
 def linked(members: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
@@ -332,11 +335,11 @@ def linked(members: DataFrame, bodies: DataFrame, words: int, least: float) -> D
     pairs = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     near = written(similar(written(pairs, "simhash-pairs"), bodies, words, least), "simhash-near")
     found = components(near, "a", "b")
-    split = members.join(found, "node", "left").groupBy("part").agg(F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi")).where("lo < hi").select("part")
-    open_ = written(members.join(split, "part").select("node").distinct(), "simhash-open")
+    split = members.join(found.hint("merge"), "node", "left").groupBy("part").agg(F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi")).where("lo < hi").select("part")
+    open_ = written(members.join(split.hint("merge"), "part").select("node").distinct(), "simhash-open")
     if open_.limit(1).count() == 0:
         return found
-    rest = written(bodies.join(open_, "node", "left_semi"), "simhash-rest")
+    rest = written(bodies.join(open_.hint("merge"), "node", "left_semi"), "simhash-rest")
     return settled(rare_parts(rest, words, least), rest, words, least, found)
 
 
@@ -354,13 +357,13 @@ def settled(members: DataFrame, bodies: DataFrame, words: int, least: float, fou
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_, hubs_of = members.withColumn("done", F.lit(False)), 1
     while True:
-        placed = open_.join(found, "node", "left").select("part", "node", "n", "m", "odd", "done", F.coalesce("component", "node").alias("c"))
+        placed = open_.join(found.hint("merge"), "node", "left").select("part", "node", "n", "m", "odd", "done", F.coalesce("component", "node").alias("c"))
         counts = placed.groupBy("part", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("done")).alias("left"), F.min("n").alias("n"))
         largest = F.max_by("c", F.struct("k", "c")).alias("largest")
         split = counts.groupBy("part").agg(largest, F.count_if(F.col("left") > 0).alias("left"), F.min("n").alias("least_n"))
         split = written(split.where("left > 1").select("part", "largest", "least_n"), "simhash-split")
         hopeful = F.col("m") >= share * (F.col("n") + F.col("least_n")) - 1e-9
-        placed = written(placed.join(split, "part").where(hopeful).drop("least_n"), "simhash-open")
+        placed = written(placed.join(split.hint("merge"), "part").where(hopeful).drop("least_n"), "simhash-open")
         bucket = F.pmod(F.xxhash64("node", F.lit(hubs_of)), F.lit(hubs_of))
         best = F.min(F.struct((-F.col("m") / F.col("n")).alias("own"), "node", "n", "m", "c", "odd")).alias("h")
         outside = ~F.col("done") & (F.lit(hubs_of == 1) | (F.col("c") != F.col("largest")))
@@ -370,20 +373,20 @@ def settled(members: DataFrame, bodies: DataFrame, words: int, least: float, fou
             return found
         both = F.col("n") + F.col("hub_n")
         enough = (F.least("m", "hub_m") >= share * both - 1e-9) & (apart_at_least(F.col("odd"), F.col("hub_odd")) <= (1 - 2 * share) * both + 1e-9)
-        met = placed.where(~F.col("done")).join(hubs, "part").where((F.col("c") != F.col("hub_c")) & enough).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        met = placed.where(~F.col("done")).join(hubs.hint("merge"), "part").where((F.col("c") != F.col("hub_c")) & enough).select(F.col("hub").alias("a"), F.col("node").alias("b"))
         pairs = written(met.select(*ordered).distinct(), "simhash-pairs")
         more = written(similar(pairs, bodies, words, least), "simhash-near")
         if more.limit(1).count():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
         chosen = hubs.select("part", F.col("hub").alias("node"), F.lit(True).alias("now"))
-        open_ = placed.join(chosen, ["part", "node"], "left").select("part", "node", "n", "m", "odd", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        open_ = placed.join(chosen.hint("merge"), ["part", "node"], "left").select("part", "node", "n", "m", "odd", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         hubs_of *= SPREAD
 
 
 def picked(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on the column ``row``; the ids are broadcast if they are few, and else both sides are shuffled."""
     few = ids.limit(MAX_IDS + 1).count() <= MAX_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "row", how)
+    return rows.join(F.broadcast(ids) if few else ids.hint("merge"), "row", how)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, bits: int = BITS) -> DataFrame:
@@ -406,19 +409,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     named = written(nodes.groupBy("print").agg(F.count(F.lit(1)).alias("n")), "simhash-prints")
     close = written(links(named.select("print"), named.count(), bits), "simhash-links").select(F.xxhash64(F.lit("near"), "src", "dst").alias("part"), F.explode(F.array("src", "dst")).alias("print"))
     by_part = nodes.select("node", F.explode("parts").alias("part"))
-    by_print = nodes.join(named.where("n > 1"), "print").select("node", F.xxhash64(F.lit("equal"), "print").alias("part"))
-    by_grid = nodes.join(close, "print").select("node", "part")
+    by_print = nodes.join(named.where("n > 1").hint("merge"), "print").select("node", F.xxhash64(F.lit("equal"), "print").alias("part"))
+    by_grid = nodes.join(close.hint("merge"), "print").select("node", "part")
     members = shared_parts(by_part.unionByName(by_print).unionByName(by_grid))
 
-    ends = written(members.select("node").distinct().join(nodes.select("node", "f.row", "n", "odd"), "node"), "simhash-ends")
+    ends = written(members.select("node").distinct().join(nodes.select("node", "f.row", "n", "odd").hint("merge"), "node"), "simhash-ends")
     texts = picked(own.select("row", "text"), ends.select("row"), "left_semi").dropDuplicates(["row"])
-    bodies = written(texts.join(ends, "row").select("node", "text", "n", "odd"), "simhash-texts")
+    bodies = written(texts.join(ends.hint("merge"), "row").select("node", "text", "n", "odd"), "simhash-texts")
     found = linked(members, bodies, words, least)
 
-    grouped = nodes.select("node", "f").join(found, "node", "left").withColumn("hub", F.coalesce("component", "node"))
+    grouped = nodes.select("node", "f").join(found.hint("merge"), "node", "left").withColumn("hub", F.coalesce("component", "node"))
     stays = written(grouped.groupBy("hub").agg(F.min("f").alias("f")).select("f.row"), "simhash-stays")
     times = marks.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    left_out = written(times.join(stays.withColumn("stays", F.lit(True)), "row", "left").where("stays IS NULL OR n > 1"), "simhash-left-out")
+    left_out = written(times.join(stays.withColumn("stays", F.lit(True)).hint("merge"), "row", "left").where("stays IS NULL OR n > 1"), "simhash-left-out")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), row.alias("row"))
     once = picked(marked, left_out.select("row"), "left_anti")
     repeated = picked(marked, left_out.where("stays").select("row"), "left_semi").dropDuplicates(["row"])

@@ -198,3 +198,20 @@ def test_the_grid_is_not_broadcast(spark):
     found = simhash.links(points, 3)
     assert "SortMergeJoin" in initial_plan(found) and "Broadcast" not in initial_plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
+
+
+def test_only_counted_rows_are_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = plans.get(name, "") + initial_plan(df)
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", kept)
+    monkeypatch.setattr(simhash, "picked", lambda rows, ids, how: rows.join(ids.hint("merge"), "row", how))
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if rng.random() > 0.04 else f"n{v}" for w in base) for v in range(40)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-docs")
+    assert 0 < simhash.deduplicated(docs).count() < 40 and "simhash-rare" in plans
+    assert [name for name, plan in plans.items() if "BroadcastHashJoin" in plan] == []
