@@ -18,3 +18,11 @@ def test_cbow_predicts_from_the_mean_of_the_context():
             vec[x] += error * known[w][1] / len(around)
     for w in line:
         assert np.allclose(got[w][0], vec[w]) and np.allclose(got[w][1], ctx[w])
+
+
+def test_a_first_training_keeps_no_vocabulary_on_the_driver(spark):
+    walks = spark.createDataFrame([([f"x{i}", "hub", f"y{i % 7}"],) for i in range(70)], "path array<string>")
+    found = embed.word2vec(walks, size=8, epochs=1)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.word: len(r.vec) for r in found.collect()} == dict.fromkeys([*(f"x{i}" for i in range(70)), *(f"y{i}" for i in range(7)), "hub"], 8)
+    assert {r.word for r in embed.word2vec(walks, size=8, epochs=1, min_count=10).collect()} == {*(f"y{i}" for i in range(7)), "hub"}
