@@ -28,18 +28,19 @@ def featured(pairs: DataFrame) -> DataFrame:
     return out.withColumn("apart", F.when(longer > 0, F.abs(F.size("w1") - F.size("w2")) / longer).otherwise(0.0)).drop("w1", "w2")
 
 
-def fitted(pairs: DataFrame, features: int = 1 << 12, rounds: int = 50) -> PipelineModel:
+def fitted(pairs: DataFrame, features: int = 1 << 12, rounds: int = 50, weight: str | None = None) -> PipelineModel:
+    """weight: a column with the number of pairs that a row stands for, where equal pairs are one row."""
     stages = [
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features, binary=True),
         VectorAssembler(inputCols=["alike", "alike_grams", "apart", "tf"], outputCol="features"),
-        LogisticRegression(labelCol="labels", featuresCol="features", regParam=0.05, maxIter=rounds),
+        LogisticRegression(labelCol="labels", featuresCol="features", regParam=0.05, maxIter=rounds, **({"weightCol": weight} if weight else {})),
     ]
     return Pipeline(stages=stages).fit(featured(pairs))
 
 
-def scored(model: PipelineModel, pairs: DataFrame) -> DataFrame:
-    return model.transform(featured(pairs)).select("text1", "text2", "labels", F.col("prediction").cast("int").alias("prediction"))
+def scored(model: PipelineModel, pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    return model.transform(featured(pairs)).select("text1", "text2", "labels", F.col("prediction").cast("int").alias("prediction"), *([weight] if weight else []))
 
 
-def tested(model: PipelineModel, pairs: DataFrame) -> DataFrame:
-    return classification(scored(model, pairs), "labels", "prediction")
+def tested(model: PipelineModel, pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    return classification(scored(model, pairs, weight), "labels", "prediction", weight)

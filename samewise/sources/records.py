@@ -48,7 +48,12 @@ def pair_texts(rows: DataFrame) -> DataFrame:
     return rows.select(side("1").alias("text1"), side("2").alias("text2"), label.alias("labels"))
 
 
+def set_of(key: Column, seed: int = 42) -> Column:
+    """train, valid or test in the proportions 3 to 1 to 1, by a hash of the key."""
+    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5))
+    return F.when(part < 3, F.lit("train")).when(part == 3, F.lit("valid")).otherwise(F.lit("test"))
+
+
 def split_sets(rows: DataFrame, key: str, seed: int = 42) -> dict[str, DataFrame]:
-    """train, valid and test in the proportions 3 to 1 to 1, by a hash of the key."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(5))
-    return {"train": rows.where(part < 3), "valid": rows.where(part == 3), "test": rows.where(part == 4)}
+    """The rows of each of the sets."""
+    return {name: rows.where(set_of(F.col(key), seed) == name) for name in ("train", "valid", "test")}
